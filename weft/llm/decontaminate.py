@@ -13,14 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stash, ascii_lower, join_checked, small
+from .common import Stash, ascii_lower, join_checked
 
 #: Word characters: everything but ASCII characters that are neither digits nor letters.
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Bound of a term table that is broadcast; larger ones are joined by shuffle.
 TERM_ROWS = 500_000
-#: Bound of the places that are broadcast to their documents.
-PLACE_ROWS = 100_000
 
 
 def words(text: Column) -> Column:
@@ -91,8 +89,6 @@ def phrase_matches(
     columns = ["id", "begin", "terms", "items"]
     left = stash.put("places", both.select(columns).unionByName(places.where("t2 is null").select(columns)))
     by_doc = left.groupBy("id").agg(F.collect_list(F.struct("begin", "terms", "items")).alias("places"))
-    if small(left, PLACE_ROWS):
-        by_doc = F.broadcast(by_doc)
     own = docs.select(F.col(doc_id).alias("id"), F.col(text_col).alias("text")).join(by_doc, "id", "left")
     fits = lambda p: F.slice("w", p["begin"] + 1, F.size(p["terms"])) == p["terms"]
     hits = F.transform(
