@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -182,7 +183,7 @@ class Writer:
             return j.select(*keep, *cols)
 
         tables = self.graph.nodes if nodes else self.graph.rels
-        changed = tuple(replace(t, df=overlay(t.df)) if not t.df.join(touched, "id", "left_semi").isEmpty() else t for t in tables)
+        changed = tuple(t.over(overlay(t.df)) if not t.df.join(touched, "id", "left_semi").isEmpty() else t for t in tables)
         self.graph = replace(self.graph, nodes=changed) if nodes else replace(self.graph, rels=changed)
 
     def set(self, cx, df, items) -> DataFrame:
@@ -226,7 +227,7 @@ class Writer:
             if after == t.labels or t.df.join(ids, "id", "left_semi").isEmpty():
                 out.append(t)
                 continue
-            out += [replace(t, df=t.df.join(ids, "id", "left_anti")), NodeTable(after, t.df.join(ids, "id", "left_semi"))]
+            out += [t.over(t.df.join(ids, "id", "left_anti")), NodeTable(after, t.df.join(ids, "id", "left_semi"))]
         self.graph = replace(self.graph, nodes=tuple(out))
 
     def remove(self, cx, df, items) -> DataFrame:
@@ -247,7 +248,7 @@ class Writer:
                 out = []
                 for x in self.graph.rels:
                     if x.type in it[2]:
-                        out += [replace(x, df=x.df.join(ids, "id", "left_anti")), replace(x, type="", df=x.df.join(ids, "id", "left_semi"))]
+                        out += [x.over(x.df.join(ids, "id", "left_anti")), x.over(x.df.join(ids, "id", "left_semi"), "")]
                     else:
                         out.append(x)
                 self.graph = replace(self.graph, rels=tuple(out))
@@ -266,17 +267,17 @@ class Writer:
                 nodes.append(df.select(c["id"].alias("id")))
             elif is_rel(t):
                 rels.append(df.select(c["id"].alias("id")))
-        union = lambda xs: _shared(__import__("functools").reduce(DataFrame.unionAll, xs).where("id is not null").distinct())
+        union = lambda xs: _shared(reduce(DataFrame.unionAll, xs).where("id is not null").distinct())
         if rels:
             ids = union(rels)
-            self.graph = replace(self.graph, rels=tuple(replace(t, df=t.df.join(ids, "id", "left_anti")) for t in self.graph.rels))
+            self.graph = replace(self.graph, rels=tuple(t.over(t.df.join(ids, "id", "left_anti")) for t in self.graph.rels))
         if nodes:
             ids = union(nodes)
             src, dst = ids.withColumnRenamed("id", "src"), ids.withColumnRenamed("id", "dst")
             if not detach and any(not t.df.join(src, "src", "left_semi").isEmpty() or not t.df.join(dst, "dst", "left_semi").isEmpty() for t in self.graph.rels):
                 raise ConstraintError("a node to be deleted still has relationships; use DETACH DELETE")
-            keep = tuple(replace(t, df=t.df.join(src, "src", "left_anti").join(dst, "dst", "left_anti")) for t in self.graph.rels) if detach else self.graph.rels
-            self.graph = replace(self.graph, nodes=tuple(replace(t, df=t.df.join(ids, "id", "left_anti")) for t in self.graph.nodes), rels=keep)
+            keep = tuple(t.over(t.df.join(src, "src", "left_anti").join(dst, "dst", "left_anti")) for t in self.graph.rels) if detach else self.graph.rels
+            self.graph = replace(self.graph, nodes=tuple(t.over(t.df.join(ids, "id", "left_anti")) for t in self.graph.nodes), rels=keep)
         return df.where("false")
 
     # -- foreach

@@ -178,8 +178,8 @@ TEXTS: dict[str, tuple[str, str, dict]] = {
         {},
     ),
     "all_shortest_paths": (
-        "MATCH (a:Region), (b:Region), p = allShortestPaths((a)-[:IN_REGION|IN_NATION*..4]-(b)) RETURN a.name AS a, b.name AS b, length(p) AS l",
-        "SELECT 'x' AS a, 'x' AS b, 0::BIGINT AS l WHERE false",
+        "MATCH (a:Nation), (b:Nation), p = allShortestPaths((a)-[:IN_REGION*..2]-(b)) WHERE a.name > b.name RETURN a.name AS a, b.name AS b, length(p) AS l, count(*) AS n",
+        "SELECT a.n_name AS a, b.n_name AS b, 2::BIGINT AS l, count(*) AS n FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_name > b.n_name GROUP BY ALL",
         {},
     ),
     "rel_variable": ("MATCH (c:Customer)-[r]->(n:Nation) RETURN type(r) AS t, count(r) AS n, count(DISTINCT startNode(r).mktsegment) AS m", "SELECT 'IN_NATION' AS t, count(*) AS n, count(DISTINCT c_mktsegment) AS m FROM customer", {}),

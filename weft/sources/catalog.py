@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
@@ -16,22 +17,39 @@ def widened(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f"`{n}`").cast(_WIDEN[t]).alias(n) if t in _WIDEN else F.col(f"`{n}`") for n, t in df.dtypes])
 
 
-@dataclass(frozen=True)
-class NodeTable:
+class _Table:
+    """Holds a DataFrame, or a function that makes it when it is first needed."""
+
+    def __init__(self, df: DataFrame | Callable[[], DataFrame]):
+        self._df = df
+
+    @property
+    def df(self) -> DataFrame:
+        if callable(self._df) and not isinstance(self._df, DataFrame):
+            self._df = self._df()
+        return self._df
+
+
+class NodeTable(_Table):
     """Nodes that all have the same labels: column ``id`` (bigint), one column per property."""
 
-    labels: tuple[str, ...]
-    df: DataFrame
+    def __init__(self, labels: tuple[str, ...], df):
+        super().__init__(df)
+        self.labels = tuple(labels)
 
+    def over(self, df) -> NodeTable:
+        return NodeTable(self.labels, df)
 
-@dataclass(frozen=True)
-class RelTable:
+
+class RelTable(_Table):
     """Relationships of one type: ``id``, ``src``, ``dst`` (bigint) and properties; known end labels prune scans."""
 
-    type: str
-    df: DataFrame
-    start: tuple[str, ...] = ()
-    end: tuple[str, ...] = ()
+    def __init__(self, type: str, df, start: tuple[str, ...] = (), end: tuple[str, ...] = ()):
+        super().__init__(df)
+        self.type, self.start, self.end = type, tuple(start), tuple(end)
+
+    def over(self, df, type: str | None = None) -> RelTable:
+        return RelTable(self.type if type is None else type, df, self.start, self.end)
 
 
 @dataclass(frozen=True)
@@ -88,7 +106,7 @@ def _prop(df: DataFrame, name: str, dtype: T.DataType) -> Column:
 def node_scan(graph: PropertyGraph, labels, wanted: set[str] | None, spark) -> DataFrame:
     """One column ``n``: struct<id, labels, properties>, restricted to wanted properties (None: all)."""
     tables = graph.node_tables(labels)
-    props = {k: v for k, v in properties_of(graph.nodes, frozenset({"id"})).items() if wanted is None or k in wanted}
+    props = {k: v for k, v in properties_of(tables, frozenset({"id"})).items() if wanted is None or k in wanted}
     parts = [t.df.select(F.struct(F.col("id"), F.array(*[F.lit(x) for x in t.labels]).cast("array<string>").alias("labels"), *[_prop(t.df, k, v) for k, v in props.items()]).alias("n")) for t in tables]
     if not parts:
         schema = T.StructType([T.StructField("n", T.StructType([T.StructField("id", T.LongType()), T.StructField("labels", T.ArrayType(T.StringType())), *[T.StructField(k, v) for k, v in props.items()]]))])
@@ -103,7 +121,7 @@ def rel_scan(graph: PropertyGraph, types, wanted: set[str] | None, spark) -> Dat
     """One column ``r``: struct<id, src, dst, type, properties>."""
     tables = graph.rel_tables(types)
     skip = frozenset({"id", "src", "dst"})
-    props = {k: v for k, v in properties_of(graph.rels, skip).items() if wanted is None or k in wanted}
+    props = {k: v for k, v in properties_of(tables, skip).items() if wanted is None or k in wanted}
     parts = [t.df.select(F.struct("id", "src", "dst", F.lit(t.type).alias("type"), *[_prop(t.df, k, v) for k, v in props.items()]).alias("r")) for t in tables]
     if not parts:
         fields = [T.StructField(k, T.LongType()) for k in ("id", "src", "dst")] + [T.StructField("type", T.StringType()), *[T.StructField(k, v) for k, v in props.items()]]

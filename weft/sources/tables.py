@@ -32,31 +32,46 @@ NODES = {
 
 
 def driver_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
-    """Customers, orders, parts, suppliers, nations, regions, users and events as nodes and relationships."""
+    """Each table is read only once a query needs it. Customers, orders, parts, suppliers, nations, regions, users and events as nodes and relationships."""
     read = lambda t: widened(spark.read.parquet(f"{sf_dir}/{t}.parquet"))
-    nodes = [NodeTable((label,), read(t).select(_id(o, key), *[F.col(c).alias(p) for p, c in props.items()])) for label, (o, t, key, props) in NODES.items()]
-    nodes.append(NodeTable(("User",), read("events").select(_id(7, "user_id")).distinct()))
+
+    def node(o, t, key, props):
+        return lambda: read(t).select(_id(o, key), *[F.col(c).alias(p) for p, c in props.items()])
+
+    nodes = [NodeTable((label,), node(*spec)) for label, spec in NODES.items()]
+    nodes.append(NodeTable(("User",), lambda: read("events").select(_id(7, "user_id")).distinct()))
 
     def rel(kind, ordinal, df, key, start, end, props=None):
         (so, sk, sl), (eo, ek, el) = start, end
-        cols = [_id(ordinal, key) if isinstance(key, str) else (F.lit(ordinal * RANGE).cast("bigint") + key).alias("id"), _end(so, sk, "src"), _end(eo, ek, "dst")]
-        return RelTable(kind, df.select(*cols, *[F.col(c).alias(p) for p, c in (props or {}).items()]), (sl,), (el,))
 
-    li = read("lineitem")
-    # line items have no key; rows are distinct, so a hash of the row identifies it
-    line_id = F.shiftrightunsigned(F.xxhash64(*[F.col(c) for c in li.columns]), 16)
+        def make():
+            cols = [_id(ordinal, key), _end(so, sk, "src"), _end(eo, ek, "dst")]
+            return df().select(*cols, *[F.col(c).alias(p) for p, c in (props or {}).items()])
+
+        return RelTable(kind, make, (sl,), (el,))
+
+    def lines():
+        # line items have no key; rows are distinct, so a hash of the row identifies it
+        li = read("lineitem")
+        return li.withColumn("k", F.shiftrightunsigned(F.xxhash64(*[F.col(c) for c in li.columns]), 16))
+
+    def supplies():
+        return read("lineitem").select("l_suppkey", "l_partkey").distinct().withColumn("k", F.shiftrightunsigned(F.xxhash64("l_suppkey", "l_partkey"), 16))
+
+    def followed():
+        following = F.expr("lead(event_id) over (partition by user_id order by ts, event_id)")
+        return read("events").select("event_id", "user_id", "ts").withColumn("next", following).where("next is not null")
+
     line_props = {k: f"l_{k}" for k in ("linenumber", "suppkey", "quantity", "extendedprice", "discount", "tax", "returnflag", "linestatus", "shipdate")}
-    supplies = li.select("l_suppkey", "l_partkey").distinct().withColumn("k", F.shiftrightunsigned(F.xxhash64("l_suppkey", "l_partkey"), 16))
-    ev = read("events").withColumn("next", F.expr("lead(event_id) over (partition by user_id order by ts, event_id)"))
     rels = [
-        rel("IN_REGION", 11, read("nation"), "n_nationkey", (2, "n_nationkey", "Nation"), (1, "n_regionkey", "Region")),
-        rel("IN_NATION", 12, read("customer"), "c_custkey", (3, "c_custkey", "Customer"), (2, "c_nationkey", "Nation")),
-        rel("IN_NATION", 13, read("supplier"), "s_suppkey", (4, "s_suppkey", "Supplier"), (2, "s_nationkey", "Nation")),
-        rel("PLACED", 14, read("orders"), "o_orderkey", (3, "o_custkey", "Customer"), (6, "o_orderkey", "Order")),
-        rel("CONTAINS", 15, li, line_id, (6, "l_orderkey", "Order"), (5, "l_partkey", "Part"), line_props),
-        rel("SUPPLIES", 16, supplies, F.col("k"), (4, "l_suppkey", "Supplier"), (5, "l_partkey", "Part")),
-        rel("DID", 17, read("events"), "event_id", (7, "user_id", "User"), (8, "event_id", "Event")),
-        rel("FOLLOWED_BY", 18, ev.where("next is not null"), "event_id", (8, "event_id", "Event"), (8, "next", "Event")),
+        rel("IN_REGION", 11, lambda: read("nation"), "n_nationkey", (2, "n_nationkey", "Nation"), (1, "n_regionkey", "Region")),
+        rel("IN_NATION", 12, lambda: read("customer"), "c_custkey", (3, "c_custkey", "Customer"), (2, "c_nationkey", "Nation")),
+        rel("IN_NATION", 13, lambda: read("supplier"), "s_suppkey", (4, "s_suppkey", "Supplier"), (2, "s_nationkey", "Nation")),
+        rel("PLACED", 14, lambda: read("orders"), "o_orderkey", (3, "o_custkey", "Customer"), (6, "o_orderkey", "Order")),
+        rel("CONTAINS", 15, lines, "k", (6, "l_orderkey", "Order"), (5, "l_partkey", "Part"), line_props),
+        rel("SUPPLIES", 16, supplies, "k", (4, "l_suppkey", "Supplier"), (5, "l_partkey", "Part")),
+        rel("DID", 17, lambda: read("events"), "event_id", (7, "user_id", "User"), (8, "event_id", "Event")),
+        rel("FOLLOWED_BY", 18, followed, "event_id", (8, "event_id", "Event"), (8, "next", "Event")),
     ]
     return PropertyGraph(tuple(nodes), tuple(rels))
 
