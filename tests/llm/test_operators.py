@@ -104,7 +104,8 @@ def test_regions_by_metric():
 
 
 def test_toxicity():
-    rows = [(f"the quiet word{i} of day{i % 7}", 0) for i in range(40)] + [(f"you word{i} idiot thing{i} moron end{i}", 1) for i in range(20)]
+    word = lambda i: "".join(chr(97 + int(d)) for d in str(i + 100))
+    rows = [(f"the quiet {word(i)} of day", 0) for i in range(40)] + [(f"you {word(i)} idiot {word(i + 50)} moron end", 1) for i in range(20)]
     rows += [("copycat phrase here", 1)] * 20
     m = toxicity.fit(rows)
     assert set(m.weight) >= {"idiot", "moron"}
@@ -117,7 +118,7 @@ def test_toxicity():
 
 def test_toxicity_rows(spark):
     df = spark.createDataFrame([(1, "idiot", "s"), (1, "idiot", "s"), (2, None, "s"), (3, "", "s")], "doc_id long, text string, score string")
-    m = toxicity.fit([(f"x{i} idiot y{i}", 1) for i in range(9)] + [(f"x{i} y{i}", 0) for i in range(9)])
+    m = toxicity.fit([(f"{x} idiot there", 1) for x in "abcdefghi"] + [(f"{x} there", 0) for x in "abcdefghi"])
     got = sorted((r.doc_id, r.predicted) for r in toxicity.score_documents(df, m).collect())
     assert got == [(1, 1), (1, 1), (2, 0), (3, 0)]
 
