@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from .common import Stash, ascii_lower, join_checked
 
-#: Word characters: everything but ASCII characters that are neither digits nor letters.
-WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Word characters: everything but ASCII characters that are neither digits nor lower-case letters. The
+#: excluded characters are listed one by one, as Java tests a list of them by one table lookup, but ranges in turn.
+WORDS = "[^" + "".join(f"\\x{c:02X}" for c in (*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80))) + "]+"
 #: Bound of a term table that is broadcast; larger ones are joined by shuffle.
 TERM_ROWS = 500_000
 
