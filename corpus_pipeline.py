@@ -14,6 +14,8 @@ from weft.llm import decontaminate, jaccard_join, mixing, sharding, toxicity
 from weft.llm.common import Stash, held_out, join_checked
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Near copies share four fifths of their distinct five-word shingles.
+SHINGLE_WORDS, SIMILARITY = 5, (4, 5)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +30,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Of rows with one id, the one with the smallest text stays; rows without an id stay.
     """
-    groups = Stash(spark, "near-copies").put("groups", jaccard_join.jaccard_components(docs))
+    groups = Stash(spark, "near-copies").put("groups", jaccard_join.jaccard_components(docs, k=SHINGLE_WORDS, threshold=SIMILARITY))
     gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
     kept = join_checked(docs, gone, "doc_id", "left_anti").select(*COLUMNS)
     again = groups.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")

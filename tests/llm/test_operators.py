@@ -212,3 +212,8 @@ def test_rollup(spark, tmp_path):
     assert r.committed() == ["b1", "b2"]
 
 
+def test_toxicity_with_few_labels():
+    for rows in ([], [("bad words", 1)], [("fine words", 0)], [(None, 1), ("", 1)]):
+        m = toxicity.fit(rows)
+        assert not m.weight
+        assert all(m.score(t) < 0.3 for t in (None, "", "fine words", "bad words"))
