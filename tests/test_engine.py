@@ -42,6 +42,15 @@ def run(spark, graph):
         ("RETURN 7 / 2 AS d, 2 ^ 3 AS p, [1, 2, 3][-1] AS i, [1, 2, 3, 4][1..3] AS s, 1 < 2 <= 3 AS t", [(3.0, 8, 3, [2, 3], True)]),
         ("RETURN date('2015-W30-2') AS a, date({year: 1984, ordinalDay: 202}) AS b, date('2015-01-31') + duration({months: 1}) AS c", [(datetime.date(2015, 7, 21), datetime.date(1984, 7, 20), datetime.date(2015, 2, 28))]),
         ("RETURN split('a,b,,', ',') AS s, toInteger('10.2') AS i, round(-2.5) AS r, range(5, 1, 1) AS e", [(["a", "b"], 10, -2.0, [])]),
+        ("RETURN toString(duration.between(date('1984-10-11'), date('2015-06-24'))) AS a, duration.inMonths(date('2015-01-31'), date('2015-02-28')).months AS m, toString(duration.between(date('2015-06-24'), date('2015-06-20'))) AS b", [("P30Y8M13D", 1, "P-4D")]),
+        ("RETURN toString(duration(null)) AS n, duration.between(date('2015-01-01'), null) AS b", [(None, None)]),
+        ("RETURN toString(datetime('2015-07-21T21:40:32.142+01:00')) AS a, toString(localdatetime('2015185T19:32:24')) AS b, toString(time('214032.142-0130')) AS c, toString(localtime('21:40')) AS d", [("2015-07-21T20:40:32.142Z", "2015-07-04T19:32:24", "21:40:32.142-01:30", "21:40:00")]),
+        ("RETURN toString(point({x: 1, y: 2})) AS p", [("point({x: 1.0, y: 2.0, crs: 'cartesian'})",)]),
+        ("RETURN [x IN [1, 2]] AS a, extract(x IN [1, 2] | x * 2) AS b, filter(x IN [1, 2, 3] WHERE x > 1) AS c", [([1, 2], [2, 4], [2, 3])]),
+        ("MATCH p = (a {name: 'A'})-[*2]->(b) RETURN [x IN nodes(p) | x.name] AS l, size(nodes(p)) AS k ORDER BY l", [(["A", "B", "D"], 3), (["A", "C", "D"], 3)]),
+        ("MATCH p = (a {name: 'A'})-->(b) WHERE all(x IN nodes(p) WHERE x.age > 0) RETURN count(*) AS c", [(2,)]),
+        ("MATCH (n {name: 'A'})-->(m) RETURN n {.name, k: count(m), s: sum(m.age)} AS m", [(("A", 3, 77.0),)]),
+        ("MATCH (n) RETURN percentileDisc(n.age, 0) AS a, percentileDisc(n.age, 1) AS b, percentileDisc(n.name, 0.5) AS c, percentileCont(DISTINCT n.age, 0.4) AS d", [(13, 44, "C", 29.0)]),
         ("RETURN distance(point({x: 2.3, y: 4.5}), point({x: 1.1, y: 5.4})) AS d", [(1.5,)]),
         ("UNWIND [1, null, 2] AS x RETURN x * 2 AS y", [(2,), (None,), (4,)]),
         ("RETURN 1 AS x UNION RETURN 1 AS x", [(1,)]),
@@ -72,6 +81,21 @@ def test_writes(run):
     assert run("MATCH (n) WHERE n.mark = 5 RETURN n.name AS n") == [("B",)]
 
 
+def test_foreach_over_a_path(run):
+    run("MATCH p = (a {name: 'A'})-->({name: 'B'})-->(c) FOREACH (n IN nodes(p) | SET n.marked = true)")
+    assert run("MATCH (n) WHERE n.marked RETURN count(*) AS c") == [(3,)]
+
+
+def test_created_ids_are_new(spark, graph):
+    engine = Engine(spark, graph)
+    for _ in range(3):
+        engine.run("UNWIND [1, 2, 3] AS x CREATE (a:T {v: x})-[:R]->(b:T {v: -x})")
+    found = engine.sql("MATCH (n:T) RETURN count(DISTINCT n) AS n, count(n) AS k, min(id(n)) AS lo").first()
+    assert (found.n, found.k) == (18, 18)
+    assert found.lo > 5
+    assert engine.sql("MATCH (:T)-[r:R]->(:T) RETURN count(DISTINCT r) AS n").first().n == 9
+
+
 def test_errors(run):
     with pytest.raises(SemanticError):
         run("RETURN nobody AS x")

@@ -170,9 +170,14 @@ def _to_boolean(a: Arg) -> Column:
 
 @register("toString")
 def _to_string(a: Arg) -> Column:
-    from .temporal import duration_text, is_duration
-
-    return duration_text(a.col) if is_duration(a.type) else a.col.cast("string")
+    from .temporal import temporal_text
+
+    if is_struct(a.type, "x", "y", "z", "srid", "crs"):
+        p = a.col
+        third = F.when(p["z"].isNotNull(), F.concat(F.lit(", z: "), p["z"].cast("string"))).otherwise(F.lit(""))
+        return F.concat(F.lit("point({x: "), p["x"].cast("string"), F.lit(", y: "), p["y"].cast("string"), third, F.lit(", crs: '"), p["crs"], F.lit("'})"))
+    text = temporal_text(a.col, a.type)
+    return a.col.cast("string") if text is None else text
 
 
 FUNCTIONS["left"] = lambda s, n: F.left(s.col, n.col.cast("int"))

@@ -68,6 +68,41 @@ def duration(a: Arg) -> Column:
     return _from_units(lambda k: part(rx[k]) if k in rx else None)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value's expression in the plan once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _two(x: Column) -> Column:
+    return F.lpad(x.cast("bigint").cast("string"), 2, "0")
+
+
+def clock_text(c: Column, zoned: bool) -> Column:
+    """ISO form of a time of day, with its offset if it has one."""
+    n = c["nanos_of_day"]
+    part = lambda unit, of: _two(F.floor(n / unit) % of)
+    frac = F.regexp_replace(F.lpad((n % 1_000_000_000).cast("string"), 9, "0"), "0+$", "")
+    text = F.concat(part(3_600_000_000_000, 24), F.lit(":"), part(60_000_000_000, 60), F.lit(":"), part(1_000_000_000, 60), F.when(frac != "", F.concat(F.lit("."), frac)).otherwise(F.lit("")))
+    if not zoned:
+        return text
+    off = c["offset_seconds"]
+    away = F.abs(off)
+    zone = F.concat(F.when(off < 0, F.lit("-")).otherwise(F.lit("+")), _two(F.floor(away / 3600)), F.lit(":"), _two(F.floor(away % 3600 / 60)))
+    return F.concat(text, F.when(off == 0, F.lit("Z")).otherwise(zone))
+
+
+def temporal_text(c: Column, t) -> Column | None:
+    """ISO form of a temporal value, or None for another type."""
+    if is_duration(t):
+        return F.when(c.isNotNull(), let(c, duration_text))
+    if is_clock(t):
+        return F.when(c.isNotNull(), let(c, lambda v: clock_text(v, "offset_seconds" in t.fieldNames())))
+    if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
+        text = F.replace(c.cast("string"), F.lit(" "), F.lit("T"))
+        return text if isinstance(t, T.TimestampNTZType) else F.concat(text, F.date_format(c, "XXX"))
+    return None
+
+
 def duration_text(d: Column) -> Column:
     """ISO form."""
     n = lambda v, u: F.when(v != 0, F.concat(v.cast("string"), F.lit(u))).otherwise(F.lit(""))
@@ -304,21 +339,41 @@ def _as_ts(a: Arg) -> Column:
     return a.col.cast("timestamp")
 
 
-def _months(a: Column, b: Column) -> Column:
-    m = (F.year(b) - F.year(a)) * 12 + F.month(b) - F.month(a)
-    back = F.add_months(a.cast("date"), m.cast("int")).cast("timestamp")
-    over = F.timestamp_micros(F.unix_micros(back) + F.unix_micros(a) - F.unix_micros(F.date_trunc("day", a)))
-    return F.when((b >= a) & (over > b), m - 1).when((b < a) & (over < b), m + 1).otherwise(m).cast("bigint")
+def _months_on(a: Column, months: Column) -> Column:
+    """a timestamp some months on, at the same time of day."""
+    day = F.add_months(a.cast("date"), months.cast("int")).cast("timestamp")
+    return F.timestamp_micros(F.unix_micros(day) + F.unix_micros(a) - F.unix_micros(F.date_trunc("day", a)))
+
+
+def _with_months(a: Column, b: Column, body) -> Column:
+    """body(a, b, whole months from a to b); null where either is."""
+    def fit(e):
+        a, b, m = e["a"], e["b"], e["m"]
+        over = _months_on(a, m)
+        whole = F.when((b >= a) & (over > b), m - 1).when((b < a) & (over < b), m + 1).otherwise(m).cast("bigint")
+        return let(F.struct(a.alias("a"), b.alias("b"), whole.alias("m")), lambda e: body(e["a"], e["b"], e["m"]))
+
+    def count(e):
+        m = (F.year(e["b"]) - F.year(e["a"])) * 12 + F.month(e["b"]) - F.month(e["a"])
+        return let(F.struct(e["a"].alias("a"), e["b"].alias("b"), m.alias("m")), fit)
+
+    return F.when(a.isNotNull() & b.isNotNull(), let(F.struct(a.alias("a"), b.alias("b")), count))
 
 
 def _between(x: Arg, y: Arg) -> Column:
-    a, b = _as_ts(x), _as_ts(y)
-    m = _months(a, b)
-    start = F.timestamp_micros(F.unix_micros(F.add_months(a.cast("date"), m.cast("int")).cast("timestamp")) + F.unix_micros(a) - F.unix_micros(F.date_trunc("day", a)))
-    us = F.unix_micros(b) - F.unix_micros(start)
-    days = F.when(us >= 0, F.floor(us / 86_400_000_000)).otherwise(F.ceil(us / 86_400_000_000)).cast("bigint")
-    rest = us - days * 86_400_000_000
-    return _duration(m, days, F.lit(0).cast("bigint"), rest * 1000)
+    def rest(a, b, m):
+        def split(e):
+            us = e["us"]
+            days = F.when(us >= 0, F.floor(us / 86_400_000_000)).otherwise(F.ceil(us / 86_400_000_000)).cast("bigint")
+            return _duration(e["m"], days, F.lit(0).cast("bigint"), (us - days * 86_400_000_000) * 1000)
+
+        return let(F.struct(m.alias("m"), (F.unix_micros(b) - F.unix_micros(_months_on(a, m))).alias("us")), split)
+
+    return _with_months(_as_ts(x), _as_ts(y), rest)
+
+
+def _months(a: Column, b: Column) -> Column:
+    return _with_months(a, b, lambda a, b, m: m)
 
 
 FUNCTIONS["duration.between"] = _between

@@ -10,12 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import is_node, is_rel
-from ..sources.catalog import NodeTable, PropertyGraph, RelTable
+from ..sources.catalog import FIRST_ID, NodeTable, PropertyGraph, RelTable
 from .paths import _shared
 
-#: Each batch of created entities takes ids from a range of its own, above all table ranges.
-FIRST_ID, BATCH = 1 << 61, 1 << 46
-
 
 class ConstraintError(RuntimeError):
     """A node can't go while relationships hold on to it."""
@@ -28,6 +25,9 @@ class Writer:
         self.graph = graph
 
     def _next_id(self) -> int:
+        """The graph's counter; a graph that comes without one is searched once."""
+        if self.graph.next_id is not None:
+            return self.graph.next_id
         top = FIRST_ID
         for t in (*self.graph.nodes, *self.graph.rels):
             m = t.df.where(F.col("id") >= FIRST_ID).agg(F.max("id")).first()[0] if t.df.schema["id"].dataType == T.LongType() else None
@@ -91,6 +91,9 @@ class Writer:
                 made_rels.append((r[1], kind, list(props)))
                 slot += 1
         df = _shared(df)  # ids must not change when the rows are read again
+        made = [F.max(f"`{name}`.id") for name, *_ in (*made_nodes, *made_rels)]
+        last = max((x for x in df.agg(*made).first() if x is not None), default=first - 1) if made else first - 1
+        self.graph = replace(self.graph, next_id=last + 1)
         for name, labels, props in made_nodes:
             self.graph = self.graph.with_nodes(NodeTable(tuple(labels), df.select(f"`{name}`.id", *[F.col(f"`{name}`.`{p}`").alias(p) for p in props])))
         for name, kind, props in made_rels:
@@ -285,7 +288,8 @@ class Writer:
         from ..plans.compiler import Scope
 
         df = _shared(df)
-        rows = df.select("*", F.explode(cx.expr(source, Scope(df))).alias(var))
+        wide, source = cx.attach(df, source)
+        rows = wide.select("*", F.explode(cx.expr(source, Scope(wide))).alias(var))
         for c in body:
             rows = self.set(cx, rows, c[1])
         return df

@@ -265,8 +265,18 @@ class Compiler:
         post = [(rewrite(e, pull), a) if has_aggregate(e) else (("var", a), a) for e, a in items]
         inner = {e: ("var", a) for e, a in keys}
         post = [(rewrite(e, lambda n: inner.get(n)), a) for e, a in post]
-        made = [self.agg(n, scope).alias(h) for n, h in aggs]
         group = [self.expr(e, scope).alias(a) for e, a in keys]
+        # the entity of a map projection around an aggregate is a grouping key too
+        for name in dict.fromkeys(n[1][1] for e, _ in post for n in walk(e) if n[0] == "mapproj" and n[1][0] == "var" and n[1][1] in df.columns):
+            h = self.hidden("k")
+            group.append(F.col(f"`{name}`").alias(h))
+            post = [(rewrite(e, lambda n, name=name, h=h: ("var", h) if n == ("var", name) else None), a) for e, a in post]
+        ranked = {}
+        for n, h in aggs:
+            if n[1].lower() == "percentiledisc" and not n[3] and isinstance(t := self.dtype(n[2][0], scope), T.NumericType):
+                ranked[h] = (c := self.hidden("d"), t)
+                df = df.withColumn(c, self.expr(n[2][0], scope))
+        made = [self.agg(n, scope).alias(h) if h not in ranked else self.disc(n, *ranked[h]).alias(h) for n, h in aggs]
         out = df.groupBy(*group).agg(*made) if group else df.agg(*made)
         s = Scope(out)
         return out.select(*[self.expr(e, s).alias(a) for e, a in post])
@@ -308,12 +318,25 @@ class Compiler:
                 n = F.size(values)
                 return F.when(n > 1, F.sqrt(ss / (n - 1 if name == "stdev" else n))).otherwise(F.lit(0.0))
             return F.coalesce((F.stddev_samp if name == "stdev" else F.stddev_pop)(x), F.lit(0.0))
-        p = self.literal(args[1])
+        p = self.share(args[1])
+        if name == "percentilecont" and not distinct:
+            return F.percentile(F.when(col.isNotNull(), col.cast("double")), F.lit(p))
+        values = F.sort_array(F.collect_set(col) if distinct else F.collect_list(col))
+        if name == "percentilecont":
+            at = (F.size(values) - 1) * F.lit(p)
+            low, high = F.get(values, F.floor(at).cast("int")).cast("double"), F.get(values, F.ceil(at).cast("int")).cast("double")
+            return low + (high - low) * (at - F.floor(at))
+        return F.get(values, F.greatest(F.ceil(F.size(values) * p).cast("int") - 1, F.lit(0)))
+
+    def share(self, e) -> float:
+        p = self.literal(e)
         if not isinstance(p, (int, float)) or not 0 <= p <= 1:
             raise SemanticError("a percentile lies between 0 and 1")
-        if name == "percentilecont":
-            return F.percentile(F.when(col.isNotNull(), col.cast("double")), F.lit(float(p)))
-        return F.get(F.sort_array(F.collect_list(col)), F.greatest(F.ceil(F.count(col) * float(p)).cast("int") - 1, F.lit(0)))
+        return float(p)
+
+    def disc(self, call, column: str, dtype) -> Column:
+        """percentileDisc() of a number: Spark's own aggregate, which counts distinct values and merges partial counts."""
+        return F.expr(f"percentile_disc({self.share(call[2][1])!r}D) within group (order by `{column}`)").cast(dtype)
 
     def _ordered(self, col: Column) -> Column:
         """collect() in the order of the last ORDER BY: rows carry its keys, nulls last where ascending."""
@@ -406,8 +429,20 @@ class Compiler:
         """Replace pattern expressions in e by columns that are joined to df."""
         made = []
 
+        def path_nodes(n) -> str | None:
+            """The path variable of a nodes() call."""
+            if n[0] == "call" and n[1] == "nodes" and len(n[2]) == 1 and n[2][0][0] == "var" and n[2][0][1] in df.columns:
+                return n[2][0][1] if is_path(df.schema[n[2][0][1]].dataType) else None
+            return None
+
         def pull(n):
             nonlocal df
+            if n[0] == "call" and n[1] == "size" and len(n[2]) == 1 and (p := path_nodes(n[2][0])):
+                return ("call", "size", (("prop", ("var", p), "nodes"),), False)
+            if p := path_nodes(n):
+                h = self.hidden("p")
+                df = self.with_path_nodes(df, p, h)
+                return ("var", h)
             if n[0] == "call" and isinstance(n[1], str) and n[1].lower() in ("startnode", "endnode"):
                 h = self.hidden("e")
                 end = "src" if n[1].lower() == "startnode" else "dst"
@@ -445,6 +480,15 @@ class Compiler:
                 df = self.joined(df, lists, keys, "left", [h])
         return df, e
 
+    def with_path_nodes(self, df: DataFrame, path: str, name: str) -> DataFrame:
+        """A column with the nodes of a path; paths carry ids, so each distinct list of ids is looked up once."""
+        ids = df.select(F.col(f"`{path}`.nodes").alias("__ids")).where("__ids is not null").distinct()
+        nodes = node_scan(self.graph, (), self.wanted, self.spark)
+        each = ids.select("__ids", F.posexplode("__ids").alias("__at", "__id")).join(nodes, F.col("__id") == F.col("n.id"))
+        in_order = F.array_sort(F.collect_list(F.struct("__at", "n")), lambda a, b: a["__at"] - b["__at"])
+        lists = each.groupBy("__ids").agg(F.transform(in_order, lambda x: x["n"]).alias(name))
+        return df.join(lists, F.col(f"`{path}`.nodes") == lists["__ids"], "left").drop("__ids")
+
     def _counted_pattern(self, part, made):
         h = self.hidden("n")
         made.append(("count", part, None, None, h))
@@ -920,6 +964,8 @@ class Compiler:
             return self.functions[low](*[self.expr(a, scope) for a in args])
         if low not in FUNCTIONS:
             raise SemanticError(f"unknown function {name}")
+        if low not in ("coalesce", "exists") and any(a == ("lit", None) or (a[0] == "param" and a[1] in self.params and self.params[a[1]] is None) for a in args):
+            return F.lit(None)
         try:
             return FUNCTIONS[low](*[self.arg(a, scope) for a in args])
         except TypeError as x:

@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Created entities take ids from here on, above all table ranges.
+FIRST_ID = 1 << 61
+
 _WIDEN = {"tinyint": "bigint", "smallint": "bigint", "int": "bigint", "float": "double"}
 
 
@@ -59,6 +62,8 @@ class PropertyGraph:
     nodes: tuple[NodeTable, ...] = ()
     rels: tuple[RelTable, ...] = ()
     indexes: frozenset[tuple[str, tuple[str, ...]]] = field(default_factory=frozenset)
+    #: The id of the next created entity, at least FIRST_ID; None: not known yet.
+    next_id: int | None = None
 
     def node_tables(self, labels=()) -> list[NodeTable]:
         return [t for t in self.nodes if set(labels) <= set(t.labels)]

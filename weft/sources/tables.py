@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalog import NodeTable, PropertyGraph, RelTable, widened
+from .catalog import FIRST_ID, NodeTable, PropertyGraph, RelTable, widened
 
 #: Ids of one table lie in its own range of this size.
 RANGE = 1 << 48
@@ -73,7 +73,7 @@ def driver_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
         rel("DID", 17, lambda: read("events"), "event_id", (7, "user_id", "User"), (8, "event_id", "Event")),
         rel("FOLLOWED_BY", 18, followed, "event_id", (8, "event_id", "Event"), (8, "next", "Event")),
     ]
-    return PropertyGraph(tuple(nodes), tuple(rels))
+    return PropertyGraph(tuple(nodes), tuple(rels), next_id=FIRST_ID)  # all table ranges lie below
 
 
 _CSV_TYPES = {"int": "bigint", "date": "date", "id": "string", "": "string"}
