@@ -133,6 +133,66 @@ def test_licences(spark):
     assert {r.doc_id: r.licences for r in license_scan.scan(df).collect()} == {i: x for i, (_, x) in enumerate(texts)}
 
 
+MIT_NOTICE = """MIT License
+Copyright (c) 2020 A. Writer
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+BSD_NOTICE = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_THIRD = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL_NOTICE = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+MPL_NOTICE = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/.
+"""
+
+
+def test_licences_in_wrapped_notices(spark):
+    notices = [(MIT_NOTICE, "MIT"), (BSD_NOTICE, "BSD-2-Clause"), (BSD_NOTICE + BSD_THIRD, "BSD-3-Clause"), (GPL_NOTICE, "GPL-3.0"), (MPL_NOTICE, "MPL-2.0")]
+    texts = []
+    for notice, name in notices:
+        texts += [(notice, name), (notice.replace("\n", "\r\n"), name), ("/*\n" + "".join(f" * {x}\n" for x in notice.split("\n")) + " */\nint main;", name)]
+        texts += [("".join(f"{mark}{x}\n" for x in notice.split("\n")), name) for mark in ("# ", "// ", "dnl ", "REM ")]
+        texts.append((notice.replace("\n\n", "\r").replace("\n", " "), name))
+    texts += [
+        ("a heading\nLicensed under CC BY 4.0.\nmore", "CC-BY-4.0"), ("Licensed under the Apache License,\nVersion 2.0.", "Apache-2.0"),
+        ("Licensed under\n\nCC BY 4.0.", ""), ("Licensed under. CC BY 4.0.", ""), (". " * 50_000 + "\n" * 50_000 + "Licensed under CC BY 4.0", "CC-BY-4.0"),
+        ("LICENSED P E L K0001 UNDER CC BY 4.0.", ""),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.licences for r in license_scan.scan(df).collect()} == {i: x for i, (_, x) in enumerate(texts)}
+
+
 PAGE = """<html><head><title>T</title><script>var a="<p>no</p>";</script></head><body><nav><ul><li>Home</li></ul></nav>
 <div class="ad">Buy</div><article><h1>Head &amp; line</h1><p>One  two<br>three<p>Four &lt;b&gt; <i>five</i></p></article><div id="comments"><p>reader</p></div><footer>F</footer></body></html>"""
 

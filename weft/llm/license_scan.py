@@ -1,8 +1,10 @@
 """Licence scans by sentence rules. DataFrame operations only.
 
-A text is cut into sentences and each is normalised (lower case, runs of other
-characters than letters and digits as one space). Known licence sentences map to
-identifiers; what remains of a text is its sequence of identifiers. A rule is an
+A text is normalised (lower case, runs of other characters than letters and digits as
+one space) and cut at sentence ends, blank lines and line breaks. A line break may also
+be a mere wrap: a known licence sentence is found where its words run over several lines
+of a paragraph, comment prefixes between them or not, as well as on a line of its own.
+Known sentences map to identifiers, and a text to its sequence of them. A rule is an
 ordered sequence of identifiers, and holds where they follow each other with at
 most ``gap`` unknown sentences between neighbours.
 """
@@ -64,8 +66,10 @@ RULES: dict[str, list[list[str]]] = {
     "MPL-2.0": [["This Source Code Form is subject to the terms of the Mozilla Public License, v.", "2.0."]],
 }
 
-#: A sentence ends at one of these followed by white space, or at a line break.
+#: A sentence ends at one of these followed by white space, or at a blank line; it may end at a line break.
 SENTENCE_END = r"([.!?;:])\s+"
+#: Comment prefixes made of letters (others are no words anyway).
+COMMENT_WORDS = r"(?m)^[ \t]*(?:dnl|rem)(?=[ \t\r\n]|$)"
 
 
 def normalise(sentence: str) -> str:
@@ -83,13 +87,34 @@ def compile_rules(rules: dict[str, list[list[str]]], gap: int):
     return known, compiled
 
 
-def sentence_ids(text: Column, known: dict[str, int]) -> Column:
+def sentence_pattern(sentence: str) -> str:
+    """A known sentence in a marked text: lines may break between words, sentences end where its own text has an end."""
+    parts = [normalise(p).replace(" ", "[ L]") for p in re.sub(SENTENCE_END, "\\1\n", sentence).split("\n")]
+    return "[ LE]".join(p for p in parts if p)
+
+
+def marked_text(text: Column) -> Column:
+    """The text in words of a-z and 0-9 with the marks P (blank line), E (sentence end) and L (line break) between, P around."""
+    t = F.replace(F.lower(text), F.lit("\r\n"), F.lit("\n"))
+    t = F.regexp_replace(t, COMMENT_WORDS, "")
+    t = F.regexp_replace(t, r"[\r\n][^a-z0-9]*[\r\n]", "P")
+    t = F.regexp_replace(t, SENTENCE_END, "E")
+    t = F.regexp_replace(t, r"[\r\n]+", "L")
+    t = F.concat(F.lit("P"), F.regexp_replace(t, "[^a-z0-9PEL]+", " "), F.lit("P"))
+    # of several marks in a row the strongest stays
+    t = F.regexp_replace(t, "(?<![ EL])[ EL]*+P[ PEL]*+", "P")
+    t = F.regexp_replace(t, "(?<![ L])[ L]*+E[ EL]*+", "E")
+    return F.regexp_replace(t, " ?L[ L]*+", "L")
+
+
+def sentence_ids(text: Column, known: dict[str, int], patterns: dict[str, str]) -> Column:
     """Identifiers of a text's sentences in order; 0 for an unknown sentence, empty ones left out."""
-    lines = F.split(F.regexp_replace(text, SENTENCE_END, "$1\n"), r"[\r\n]+")
-    norm = F.transform(lines, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-    norm = F.filter(norm, lambda s: s != "")
-    table = F.array(*[F.lit(s) for s in known])
-    return F.transform(norm, lambda s: F.array_position(table, s).cast("int"))
+    t = marked_text(text)
+    for s in sorted(known, key=lambda s: (-len(s.split()), s)):  # a long sentence before one that is a part of it
+        t = F.regexp_replace(t, f"(?<=[PEL]){patterns[s]}(?=[PEL])", f"K{known[s]:04d}")
+    t = F.regexp_replace(F.regexp_replace(t, "L(?=K)", "E"), "(K[0-9]{4})L", "$1E")
+    found = F.filter(F.split(t, "[PE]+"), lambda s: s != "")
+    return F.transform(found, lambda s: F.when(s.startswith("K"), F.substring(s, 2, 4).cast("int")).otherwise(F.lit(0)))
 
 
 def scan(docs: DataFrame, rules: dict[str, list[list[str]]] | None = None, gap: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -102,11 +127,12 @@ def scan(docs: DataFrame, rules: dict[str, list[list[str]]] | None = None, gap:
     """
     rules = RULES if rules is None else rules
     known, compiled = compile_rules(rules, gap)
+    patterns = {normalise(s): sentence_pattern(s) for variants in rules.values() for v in variants for s in v}
     text = F.col(text_col)
     # each known sentence holds its longest word; a text without any of these words needs no cutting
     marks = sorted({max(s.split(), key=lambda w: (len(w), w)) for s in known})
     may = F.lower(text).rlike("|".join(marks))
-    ids = F.when(may, sentence_ids(text, known)).otherwise(F.array().cast("array<int>"))
+    ids = F.when(may, sentence_ids(text, known, patterns)).otherwise(F.array().cast("array<int>"))
     seq = docs.select(F.col(id_col), F.coalesce(ids, F.array().cast("array<int>")).alias("ids"))
     seq = seq.select(id_col, F.filter("ids", lambda i: i > 0).alias("hit"), F.concat(F.array_join(F.transform("ids", lambda i: F.lpad(i.cast("string"), 4, "0")), " "), F.lit(" ")).alias("line"))
     line = F.col("line")
