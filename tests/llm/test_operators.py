@@ -116,6 +116,22 @@ def test_toxicity():
         assert m.score(t) < 0.3
 
 
+def test_toxicity_ordinary_obfuscations():
+    word = lambda i: "".join(chr(97 + int(d)) for d in str(i + 100))
+    rows = [(f"yes you are the quiet person {word(i)} of a day he said hello to all", 0) for i in range(60)] + [(f"you {word(i)} idiot {word(i + 50)} stupid end", 1) for i in range(20)]
+    m = toxicity.fit(rows)
+    assert set(m.weight) == {"idiot", "stupid"}
+    hidden = {
+        "idiot": ["you are a i d i o t", "a\ni\nd\ni\no\nt", "i\r\nd\r\ni\r\no\r\nt", '"i d i o t"', "i, d, i, o, t", "1 d 1 0 t", "iidiot", "idiiot", "idiott", "iidioot", "so idiott!", "hello,1d10t", "hello!1d10t", "hello/iidiot", "a 1 d i o t"],
+        "stupid": ["y e s t u p i d", "stup1d-person", "5tupid_person", "stuupid"],
+        "idiot stupid": ["s t u p i d i d i o t", "i d i o t\ns t u p i d", "1d10t,stup1d"],
+    }
+    wrong = [(t, m.found(t)) for words, texts in hidden.items() for t in texts if m.found(t) != set(words.split())]
+    assert not wrong
+    for t in ("a b c d", "all hello yes", "hello,person", "y e s y o u", "1. a, b, c", "q-w/e", "-", "book keeper", "a " * 5_000 + "b"):
+        assert not m.found(t), t
+
+
 def test_toxicity_rows(spark):
     df = spark.createDataFrame([(1, "idiot", "s"), (1, "idiot", "s"), (2, None, "s"), (3, "", "s")], "doc_id long, text string, score string")
     m = toxicity.fit([(f"{x} idiot there", 1) for x in "abcdefghi"] + [(f"{x} there", 0) for x in "abcdefghi"])
