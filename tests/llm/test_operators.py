@@ -233,6 +233,19 @@ def test_style_tree(spark):
         assert got[90] == ("", 0)
 
 
+def test_style_tree_judges_each_branch(spark):
+    page = (
+        "<html><body><ul><li>One</li><li>Two</li></ul><div class='box7'><p>" + "A long notice that stands on every page. " * 20 + "</p></div>"
+        "<div class='text'><h3>Summary</h3><p>own text {0}</p><ul><li>own item {0}</li></ul></div></body></html>"
+    )
+    words = [w * 3 for w in "abcdefghijkl"]
+    rows = [(i, f"http://h.example/{i}", page.format(w)) for i, w in enumerate(words)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for options in ({}, {"noise_rows": 0}):
+        got = {r.page_id: r.text for r in html_extract.extract(df, **options).collect()}
+        assert got == {i: f"Summary\nown text {w}\nown item {w}" for i, w in enumerate(words)}
+
+
 def test_mixing(spark):
     rows = [(i, "a" if i % 3 else "b", "text", 5) for i in range(3000)] + [(5000, None, None, 5)]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string, copy int")

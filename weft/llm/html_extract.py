@@ -5,9 +5,10 @@ tags with classes and ids. A node's presentation importance is the entropy of th
 child layouts it is seen with, its content importance is low where the same content
 stands on many pages (entropy of the content over pages); an inner node combines its
 own presentation with its content nodes. Branches of low importance are navigation,
-notices, advertising and the like, and leave every page of the host. A host with few
-pages can't be judged this way, so elements whose tag, role, class or id says what
-they are leave in any case.
+notices, advertising and the like, and leave every page of the host. Elements whose tag,
+role, class or id says what they are leave first, on every host: the texts of comments and
+advertisements differ from page to page, and a host with few pages can't be judged at all.
+The tree judges what is left, each branch by itself.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ BLOCKS = frozenset(
 )
 #: Elements whose opening ends an open paragraph, and elements that end one of their own kind.
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd table tbody tr td th".split())
+#: Without class or id these are labels and cells of their surroundings (often equal on all pages), not branches of their own.
+PLAIN = frozenset("h1 h2 h3 h4 h5 h6 dt dd tbody tr td th caption".split())
 HINTS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion promoted banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside rail widget widgets footer masthead topbar comments comment replies reply disqus respond cookie cookies consent notice notices gdpr alert popup modal newsletter subscribe signup social share sharing related recommended recommendations pagination pager search searchbox login skip toolbar copyright disclaimer".split()
 )
@@ -214,8 +216,6 @@ def main_text(page: str | None, host: str = "", noise=None) -> str:
         return ""
     blocks, _ = parse(page)
     kept = [b for b in blocks if not b[1]]
-    inner = [b for b in kept if b[2]]
-    kept = inner or kept
     if noise is not None and len(noise) and kept:
         memo: dict[str, bool] = {}
 
@@ -227,9 +227,9 @@ def main_text(page: str | None, host: str = "", noise=None) -> str:
             return memo[path]
 
         left = [b for b in kept if not any(marked and is_noise(path) for path, marked in b[3] if not path.endswith((">html", ">body", ">article", ">main")))]
-        if 2 * sum(len(b[0]) for b in left) >= sum(len(b[0]) for b in kept):
-            kept = left
-    return "\n".join(b[0] for b in kept)
+        kept = left or kept  # a page of nothing else is left as it is
+    inner = [b for b in kept if b[2]]
+    return "\n".join(b[0] for b in inner or kept)
 
 
 def _features(batches):
