@@ -246,6 +246,14 @@ def test_style_tree_judges_each_branch(spark):
         assert got == {i: f"Summary\nown text {w}\nown item {w}" for i, w in enumerate(words)}
 
 
+def test_html_keeps_slugs_and_bodies_beside_cards():
+    article = "".join(f"<{tag} id='{slug}'>{slug}</{tag}>" for tag, slug in [("section", "related-work"), ("h3", "search-and-navigation"), ("div", "share-prices"), ("section", "alert-levels"), ("h3", "comments"), ("section", "related")])
+    assert html_extract.main_text(f"<body><article>{article}<div class='social share'>S</div><div class='ad-box'>A</div><div id='cookie-notice'>C</div></article></body>") == "related-work\nsearch-and-navigation\nshare-prices\nalert-levels\ncomments\nrelated"
+    cards = "<article>card one</article><article>card two</article>" * 9
+    assert html_extract.main_text(f"<body><div class='content'><p>the body of the page</p></div>{cards}</body>").startswith("the body of the page\ncard one")
+    assert html_extract.main_text("<body><div>small print</div><article>the body of the page</article></body>") == "the body of the page"
+
+
 def test_mixing(spark):
     rows = [(i, "a" if i % 3 else "b", "text", 5) for i in range(3000)] + [(5000, None, None, 5)]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string, copy int")

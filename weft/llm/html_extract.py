@@ -37,7 +37,12 @@ PLAIN = frozenset("h1 h2 h3 h4 h5 h6 dt dd tbody tr td th caption".split())
 HINTS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion promoted banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside rail widget widgets footer masthead topbar comments comment replies reply disqus respond cookie cookies consent notice notices gdpr alert popup modal newsletter subscribe signup social share sharing related recommended recommendations pagination pager search searchbox login skip toolbar copyright disclaimer".split()
 )
+#: Words that say where or how large something is, not what; with them a class stays a hint.
+LAYOUT = frozenset("site page post top bottom left right box bar block container wrapper wrap area inner outer global main primary secondary list links link item items button buttons section panel content articles posts stories".split())
 OUTER_HINTS = frozenset("header head foot side".split())
+#: Elements whose class and id are no hints: anywhere, and in main content, where ids are slugs of headings.
+UNNAMED = frozenset("html body article main h1 h2".split())
+UNNAMED_IN_MAIN = frozenset("section h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 
 _ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -46,6 +51,16 @@ _SPLIT = re.compile(r"[\s_\-]+|(?<=[a-z])(?=[A-Z])")
 _DIGITS = re.compile(r"\d+")
 
 
+def _names(value: str, outer: bool) -> bool:
+    """Whether a whole class or a short id is made of hints, and of layout words besides; a slug of other words isn't."""
+    for token in value.split():
+        words = [w for w in _SPLIT.split(token) if w and not w.isdigit()]
+        hints = [w.lower() in HINTS or (outer and w.lower() in OUTER_HINTS) for w in words]
+        if any(hints) and len(words) <= 3 and all(h or w.lower() in LAYOUT for h, w in zip(hints, words)):
+            return True
+    return False
+
+
 def key64(*parts: str) -> int:
     return int.from_bytes(blake2b("\x1f".join(parts).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
@@ -76,13 +91,14 @@ def _end_of_tag(s: str, at: int) -> int:
 def parse(page: str):
     """(blocks, elements) of a page.
 
-    blocks: (text, dropped, in main content, chain) in page order, with chain the
+    blocks: (text, dropped, number of the outermost article or main element or 0, chain) in page order, with chain the
     (path, marked) of the enclosing elements; elements: (path, layout of children).
     """
-    root = _Node("", "", False, False, (), False)
+    root = _Node("", "", False, 0, (), False)
     stack, blocks, elements = [root], [], []
     buf: list[str] = []
     owner = root
+    mains = 0
 
     def flush():
         if buf:
@@ -184,8 +200,8 @@ def parse(page: str):
                     words = [w.lower() for w in _SPLIT.split(v) if w]
                     marked = marked or bool(words)
                     name += "." + _DIGITS.sub("0", "-".join(sorted(words)))
-                    if tag not in ("html", "body", "article", "main", "h1", "h2"):
-                        hinted = hinted or not HINTS.isdisjoint(words) or (not up.main and not OUTER_HINTS.isdisjoint(words))
+                    if tag not in UNNAMED and not (up.main and tag in UNNAMED_IN_MAIN):
+                        hinted = hinted or _names(v, not up.main)
                 elif k == "role":
                     hinted = hinted or v.lower() in ROLES
                 elif k == "hidden" or (k == "aria-hidden" and v.lower() == "true") or (k == "style" and re.search(r"display\s*:\s*none", v, re.I)):
@@ -193,7 +209,10 @@ def parse(page: str):
         path = f"{up.path}>{name}"
         up.kids.append(name)
         dropped = up.dropped or hinted or tag in DROPPED or (tag == "header" and not up.main)
-        main = up.main or tag in ("article", "main")
+        main = up.main
+        if not main and tag in ("article", "main"):
+            mains += 1
+            main = mains
         node = _Node(tag, path, dropped, main, (*up.chain, (path, marked or tag not in PLAIN)), marked)
         if tag in RAW:
             lower = page.lower() if lower is None else lower
@@ -228,8 +247,14 @@ def main_text(page: str | None, host: str = "", noise=None) -> str:
 
         left = [b for b in kept if not any(marked and is_noise(path) for path, marked in b[3] if not path.endswith((">html", ">body", ">article", ">main")))]
         kept = left or kept  # a page of nothing else is left as it is
-    inner = [b for b in kept if b[2]]
-    return "\n".join(b[0] for b in inner or kept)
+    # outside of articles stands nothing more, unless it outweighs each of them: then they are cards or remarks beside it
+    size: dict[int, int] = {}
+    for b in kept:
+        size[b[2]] = size.get(b[2], 0) + len(b[0])
+    outside = size.pop(0, 0)
+    if size and outside < max(size.values()):
+        kept = [b for b in kept if b[2]]
+    return "\n".join(b[0] for b in kept)
 
 
 def _features(batches):
