@@ -5,6 +5,7 @@ import datetime
 import pytest
 
 from weft.engine import Engine
+from weft.operators import paths
 from weft.operators.writes import ConstraintError
 from weft.plans.compiler import SemanticError
 from weft.plans.parser import QuerySyntaxError, parse
@@ -111,3 +112,14 @@ def test_scans_stay_pruned(spark, tmp_path, graph):
     plan = engine.sql("MATCH (n:Person) WHERE n.age > 30 RETURN n.name AS n")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(age,30)" in plan
     assert "ReadSchema: struct<name:string,age:bigint>" in plan
+
+
+def test_unbounded_shortest_paths_go_on_past_the_hop_limit(spark):
+    edges = spark.createDataFrame([((i,), i, i + 1) for i in range(9)] + [((50,), 0, 20), ((51,), 20, 2), ((52,), 9, 0)], "r struct<id: long>, __from long, __to long")
+    pairs = spark.createDataFrame([(0, 8), (0, 2), (5, 1), (0, 99)], "s long, t long")
+    for every in (False, True):
+        got = sorted((r.s, r.t, len(r.rels)) for r in paths.shortest(pairs, edges, 1, None, 3, every).collect())
+        assert got == sorted([(0, 8, 8), (0, 2, 2), (5, 1, 6)] + [(0, 8, 8), (0, 2, 2)] * every)
+    with pytest.raises(paths.PathLimitError):
+        paths.shortest(pairs.where("t = 8"), edges, 2, None, 3, False)
+    assert [len(r.rels) for r in paths.shortest(pairs.where("t = 2"), edges, 2, None, 3, False).collect()] == [2]

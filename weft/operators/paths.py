@@ -6,6 +6,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,8 +74,10 @@ def shortest(pairs: DataFrame, edges: DataFrame, lo: int, hi: int | None, limit:
     """Shortest paths between ``pairs(s, t)``: one each, or all of the least length with ``every``.
 
     A level keeps one frontier row per start and node reached (all predecessors with
-    ``every``), so a search visits each node once per start. Pairs with s = t and lo = 0
-    have the empty path.
+    ``every``), so a search visits each node once per start, and without an upper bound it
+    goes on until all pairs are found or no node is new. Only where lo > 1 doesn't allow
+    that, an unbounded search still open after ``limit`` hops raises PathLimitError. Pairs
+    with s = t and lo = 0 have the empty path.
     """
     pairs = _shared(pairs)
     edges = _shared(edges)
@@ -81,8 +85,8 @@ def shortest(pairs: DataFrame, edges: DataFrame, lo: int, hi: int | None, limit:
     seen = front.select("s", F.col("t").alias("v"))
     found = front.join(pairs, ["s", "t"]) if lo == 0 else front.where("false")
     open_pairs = pairs.where("s <> t") if lo == 0 else pairs
-    last = hi if hi is not None else limit
-    for hop in range(1, last + 1):
+    hops = range(1, hi + 1) if hi is not None else count(1) if lo <= 1 else range(1, max(lo, limit) + 1)
+    for hop in hops:
         nxt = _step(front, edges)
         if lo <= 1:
             nxt = nxt.join(seen, (nxt["s"] == seen["s"]) & (nxt["t"] == seen["v"]), "left_anti")
@@ -105,4 +109,7 @@ def shortest(pairs: DataFrame, edges: DataFrame, lo: int, hi: int | None, limit:
             if open_pairs.isEmpty():
                 break
             front = front.join(open_pairs.select("s").distinct(), "s", "left_semi")
+    else:
+        if hi is None and not _step(front, edges).isEmpty():
+            raise PathLimitError(f"shortest paths longer than {limit} hops; give an upper bound")
     return found.select("s", "t", "rels", "via")
