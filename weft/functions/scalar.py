@@ -77,7 +77,6 @@ FUNCTIONS["power"] = lambda a, b: F.pow(number(a.col), number(b.col)).cast("bigi
 FUNCTIONS["weft"] = lambda: F.lit("weft-0.1")
 FUNCTIONS["timestamp"] = lambda: F.unix_millis(F.current_timestamp())
 FUNCTIONS["randomuuid"] = lambda: F.expr("uuid()")
-FUNCTIONS["coalesce"] = lambda *a: F.coalesce(*[x.col for x in a])
 FUNCTIONS["id"] = lambda a: a.col["id"]
 FUNCTIONS["type"] = lambda a: F.when(a.col.isNotNull(), F.coalesce(a.col["type"], F.lit("")))
 FUNCTIONS["labels"] = lambda a: a.col["labels"]
@@ -88,6 +87,13 @@ FUNCTIONS["last"] = lambda a: F.try_element_at(a.col, F.lit(-1))
 FUNCTIONS["tail"] = lambda a: F.slice(a.col, 2, F.greatest(F.size(a.col), F.lit(1)))
 
 
+@register("coalesce")
+def _coalesce(*a: Arg) -> Column:
+    from .anyvalue import unified
+
+    return F.coalesce(*unified([x.col for x in a], [x.type for x in a]))
+
+
 @register("round")
 def _round(a: Arg, p: Arg | None = None) -> Column:
     if p is None:
@@ -193,7 +199,7 @@ FUNCTIONS["toupper"] = FUNCTIONS["upper"] = lambda s: F.upper(s.col)
 @register("split")
 def _split(s: Arg, d: Arg) -> Column:
     """By a literal separator; empty pieces at the end are dropped."""
-    quoted = F.concat(F.lit(r"\Q"), d.col, F.lit(r"\E"))
+    quoted = F.concat(F.lit(r"\Q"), F.replace(d.col, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
     parts = F.split(s.col, quoted)
     kept = F.size(parts) - F.coalesce(F.array_position(F.transform(F.reverse(parts), lambda x: x != ""), True) - 1, F.size(parts)).cast("int")
     return F.slice(parts, 1, F.greatest(kept, F.lit(0)))

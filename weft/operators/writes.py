@@ -14,6 +14,10 @@ from ..sources.catalog import FIRST_ID, NodeTable, PropertyGraph, RelTable
 from .paths import _shared
 
 
+#: Updates of a table that are kept as joins before it is written out.
+MAX_OVERLAYS = 8
+
+
 class ConstraintError(RuntimeError):
     """A node can't go while relationships hold on to it."""
 
@@ -23,6 +27,7 @@ class Writer:
 
     def __init__(self, graph: PropertyGraph):
         self.graph = graph
+        self.relabelled = False
 
     def _next_id(self) -> int:
         """The graph's counter; a graph that comes without one is searched once."""
@@ -168,14 +173,32 @@ class Writer:
                 out.update(fields)
         return out, clear
 
-    def _write(self, ids_values: DataFrame, props: list[str], clear: bool, nodes: bool) -> None:
-        """Overlay ``(id, __set_<property>)`` on the tables; one row per id."""
-        touched = _shared(ids_values.dropDuplicates(["id"]))
+    def _touched(self, df: DataFrame, var: str, nodes: bool) -> list:
+        """The tables that the variable's entities can stand in, by the labels or types that occur among them."""
+        if self.relabelled:  # rows may hold labels and types from before
+            return list(self.graph.nodes if nodes else self.graph.rels)
+        c = F.col(f"`{var}`")
+        mark = (F.array_sort(c["labels"]) if nodes else c["type"]).alias("m")
+        seen = {tuple(r[0]) if nodes else r[0] for r in df.where(c.isNotNull()).select(mark).distinct().collect()}  # at most one row a table
+        return [t for t in (self.graph.nodes if nodes else self.graph.rels) if (tuple(sorted(t.labels)) if nodes else t.type) in seen]
+
+    def _write(self, df: DataFrame, var: str, values: dict, clear: bool, nodes: bool) -> None:
+        """Overlay ``{property: column}`` over the rows of df on the tables. Where rows share an entity, each sees the
+        entity as it was before, and the last row in order stays."""
+        tables = self._touched(df, var, nodes)
+        if not tables:
+            return
+        props = list(values)
+        row = F.struct(F.monotonically_increasing_id().alias("at"), *[values[k].alias(f"__set_{k}") for k in props])
+        rows = df.where(F.col(f"`{var}`").isNotNull()).select(F.col(f"`{var}`.id").alias("id"), row.alias("row"))
+        last = rows.groupBy("id").agg(F.max_by("row", "row.at").alias("row"))
+        touched = _shared(last.select("id", *[F.col(f"row.`__set_{k}`").alias(f"__set_{k}") for k in props], F.lit(True).alias("__hit")))
 
-        def overlay(df: DataFrame) -> DataFrame:
+        def overlay(t):
+            df = t.df
             keep = [c for c in df.columns if c in ("id", "src", "dst")]
             own = [c for c in df.columns if c not in keep]
-            j = df.join(touched.withColumn("__hit", F.lit(True)), "id", "left")
+            j = df.join(touched, "id", "left")
             cols = []
             for c in dict.fromkeys([*own, *props]):
                 old = F.col(f"`{c}`") if c in own else F.lit(None)
@@ -183,11 +206,16 @@ class Writer:
                     cols.append(F.when(F.col("__hit"), F.col(f"`__set_{c}`")).otherwise(old).alias(c))
                 else:
                     cols.append((F.when(F.col("__hit").isNull(), old) if clear else old).alias(c))
-            return j.select(*keep, *cols)
+            out = j.select(*keep, *cols)
+            new = t.over(out)
+            new.overlays = t.overlays + 1
+            if new.overlays >= MAX_OVERLAYS:  # many updates in a row don't pile up joins
+                new = t.over(_shared(out))
+            return new
 
-        tables = self.graph.nodes if nodes else self.graph.rels
-        changed = tuple(t.over(overlay(t.df)) if not t.df.join(touched, "id", "left_semi").isEmpty() else t for t in tables)
-        self.graph = replace(self.graph, nodes=changed) if nodes else replace(self.graph, rels=changed)
+        changed = {id(t): overlay(t) for t in tables}
+        swap = lambda ts: tuple(changed.get(id(t), t) for t in ts)
+        self.graph = replace(self.graph, nodes=swap(self.graph.nodes)) if nodes else replace(self.graph, rels=swap(self.graph.rels))
 
     def set(self, cx, df, items) -> DataFrame:
         df = _shared(df)
@@ -209,9 +237,8 @@ class Writer:
             values, clear = self._updates(cx, df, var, [it])
             if not is_node(t) and not is_rel(t):
                 raise TypeError(f"{var} has no properties to set")
-            rows = df.where(F.col(f"`{var}`").isNotNull()).select(F.col(f"`{var}`.id").alias("id"), *[v.alias(f"__set_{k}") for k, v in values.items()]) if values or clear else None
-            if rows is not None:
-                self._write(rows, list(values), clear, is_node(t))
+            if values or clear:
+                self._write(df, var, values, clear, is_node(t))
             c = F.col(f"`{var}`")
             hide = ("id", "labels") if is_node(t) else ("id", "src", "dst", "type")
             fields = [c[n].alias(n) for n in hide]
@@ -224,10 +251,11 @@ class Writer:
 
     def _relabel(self, ids: DataFrame, labels, add: bool) -> None:
         ids = _shared(ids)
+        self.relabelled = True
         out = []
         for t in self.graph.nodes:
             after = tuple(dict.fromkeys((*t.labels, *labels))) if add else tuple(x for x in t.labels if x not in labels)
-            if after == t.labels or t.df.join(ids, "id", "left_semi").isEmpty():
+            if after == t.labels or (not add and not set(labels) & set(t.labels)) or t.df.join(ids, "id", "left_semi").isEmpty():
                 out.append(t)
                 continue
             out += [t.over(t.df.join(ids, "id", "left_anti")), NodeTable(after, t.df.join(ids, "id", "left_semi"))]
@@ -239,9 +267,8 @@ class Writer:
             var = it[1][1]
             c, t = F.col(f"`{var}`"), df.schema[var].dataType
             if it[0] == "prop":
-                rows = df.where(c.isNotNull()).select(c["id"].alias("id"), F.lit(None).cast(t[it[2]].dataType if it[2] in t.fieldNames() else T.StringType()).alias(f"__set_{it[2]}"))
                 if it[2] in t.fieldNames():
-                    self._write(rows, [it[2]], False, is_node(t))
+                    self._write(df, var, {it[2]: F.lit(None).cast(t[it[2]].dataType)}, False, is_node(t))
                     df = df.withColumn(var, c.withField(it[2], F.lit(None).cast(t[it[2]].dataType)))
             elif is_node(t):
                 self._relabel(df.select(c["id"].alias("id")).where("id is not null").distinct(), it[2], False)
@@ -249,6 +276,7 @@ class Writer:
             else:  # a relationship's type
                 ids = _shared(df.select(c["id"].alias("id")).where("id is not null").distinct())
                 out = []
+                self.relabelled = True
                 for x in self.graph.rels:
                     if x.type in it[2]:
                         out += [x.over(x.df.join(ids, "id", "left_anti")), x.over(x.df.join(ids, "id", "left_semi"), "")]
@@ -285,11 +313,101 @@ class Writer:
 
     # -- foreach
     def foreach(self, cx, df, var, source, body) -> DataFrame:
-        from ..plans.compiler import Scope
+        """Run the clauses once for every element of the list, in order.
 
+        SET clauses on variables of the rows are folded over the list within each row, so that an element sees what
+        the one before has set. Other clauses (and SET on what they bind) run over the rows times the elements.
+        """
         df = _shared(df)
-        wide, source = cx.attach(df, source)
-        rows = wide.select("*", F.explode(cx.expr(source, Scope(wide))).alias(var))
-        for c in body:
-            rows = self.set(cx, rows, c[1])
+        outer = set(df.columns)
+        at = 0
+        while at < len(body) and body[at][0] == "set" and all(i[1][0] == "var" and i[1][1] in outer for i in body[at][1]):
+            at += 1
+        if at:
+            items = [i for c in body[:at] for i in c[1]]
+            df = self._fold(cx, df, var, source, items)
+        if at < len(body):
+            wide, source = cx.attach(df, source)
+            rows = wide.select("*", F.explode(self._scoped(cx, wide, source)).alias(var))
+            for c in body[at:]:
+                if c[0] == "delete":
+                    self.delete(cx, rows, *c[1:])
+                else:
+                    rows = getattr(self, c[0])(cx, rows, *c[1:])
+                cx.graph = self.graph
         return df
+
+    @staticmethod
+    def _scoped(cx, df, e):
+        from ..plans.compiler import Scope
+
+        return cx.expr(e, Scope(df))
+
+    def _fold(self, cx, df, var, source, items) -> DataFrame:
+        from ..plans.compiler import Scope
+
+        wide, source = cx.attach(df, source)
+        scope = Scope(wide)
+        elements, of = cx.expr(source, scope), cx.element(source, scope)
+        names = list(dict.fromkeys(i[1][1] for i in items))
+        for i in (i for i in items if i[0] == "label"):
+            self._relabel(wide.where(F.size(elements) > 0).select(F.col(f"`{i[1][1]}`.id").alias("id")).where("id is not null").distinct(), i[2], True)
+        hide = {n: ("id", "labels") if is_node(wide.schema[n].dataType) else ("id", "src", "dst", "type") for n in names}
+        types = {n: {f.name: f.dataType for f in wide.schema[n].dataType.fields} for n in names}
+
+        def step(of_names, x, types):
+            """Fields of each variable after one element, as columns, and their types."""
+            fields = {n: {k: of_names[n][k] for k in types[n]} for n in names}
+            found = {n: dict(types[n]) for n in names}
+            for it in items:
+                if it[0] == "label":
+                    continue
+                now = scope.bind(var, x, of)
+                for n in names:
+                    now = now.bind(n, F.struct(*[c.alias(k) for k, c in fields[n].items()]), T.StructType([T.StructField(k, t) for k, t in found[n].items()]))
+                n, it_values = it[1][1], {}
+                if it[0] == "prop":
+                    it_values = {it[2]: it[3]}
+                elif it[2][0] == "map":
+                    it_values = dict(it[2][1])
+                elif it[2][0] == "param":
+                    it_values = {k: ("lit", v) for k, v in cx.params[it[2][1]].items()}
+                else:
+                    raise TypeError("FOREACH sets properties from maps or single values")
+                new = {k: (cx.expr(e, now), cx.dtype(e, now)) for k, e in it_values.items()}
+                if it[0] == "replace":
+                    fields[n].update({k: F.lit(None).cast(t) for k, t in found[n].items() if k not in hide[n]})
+                for k, (c, t) in new.items():
+                    old = found[n].get(k)
+                    kept = old if isinstance(t, T.NullType) and old is not None else t
+                    if old is not None and {type(old), type(t)} == {T.LongType, T.DoubleType}:
+                        kept = T.DoubleType()
+                    fields[n][k], found[n][k] = c.cast(kept), kept
+            return fields, found
+
+        blank = {n: {k: F.lit(None).cast(t) for k, t in types[n].items()} for n in names}
+        for _ in range(8):  # the types that the properties end up with, over any number of rounds
+            _, after = step({n: {**blank[n], **{k: F.lit(None).cast(t) for k, t in types[n].items()}} for n in names}, F.lit(None).cast(of), types)
+            if after == types:
+                break
+            types = after
+        pack = lambda fields: F.struct(*[F.struct(*[fields[n][k].cast(types[n][k]).alias(k) for k in types[n]]).alias(n) for n in names])
+        own = {n: set(wide.schema[n].dataType.names) for n in names}
+        first = {n: {k: F.col(f"`{n}`.`{k}`") if k in own[n] else F.lit(None) for k in types[n]} for n in names}
+
+        def unpack(acc):
+            return {n: {k: acc[n][k] for k in types[n]} for n in names}
+
+        folded = F.aggregate(F.coalesce(elements, F.array().cast(T.ArrayType(of))), pack(first), lambda acc, x: pack(step(unpack(acc), x, types)[0]))
+        h = cx.hidden("f")
+        out = _shared(wide.withColumn(h, folded))
+        for n in names:
+            changed = {k for i in items if i[0] != "label" and i[1][1] == n for k in ([i[2]] if i[0] == "prop" else [k for k in types[n] if k not in hide[n]])}
+            if changed:
+                self._write(out, n, {k: F.col(f"`{h}`.`{n}`.`{k}`") for k in types[n] if k in changed}, False, is_node(wide.schema[n].dataType))
+            labels = [x for i in items if i[0] == "label" and i[1][1] == n for x in i[2]]
+            value = F.when(F.col(f"`{n}`").isNotNull(), F.col(f"`{h}`.`{n}`"))
+            if labels:
+                value = value.withField("labels", F.when(F.size(elements) > 0, F.array_union(value["labels"], F.array(*[F.lit(x) for x in labels]))).otherwise(value["labels"]))
+            out = out.withColumn(n, value)
+        return out.select(*[f"`{c}`" for c in df.columns])

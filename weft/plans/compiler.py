@@ -9,35 +9,63 @@ before Catalyst sees a plan, and a shared variable is an equi-join on ids.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import temporal
+from ..functions import anyvalue, temporal
 from ..functions.scalar import FUNCTIONS, Arg, is_list, is_node, is_path, is_rel
 from ..operators import paths
 from ..sources.catalog import PropertyGraph, node_scan, rel_scan
 from .parser import AGGREGATES, has_aggregate, rewrite, walk
 
 
+#: Types of literals by their Python type.
+_LITERAL_TYPES = {bool: T.BooleanType(), int: T.LongType(), float: T.DoubleType(), str: T.StringType(), type(None): T.NullType()}
+
+
+#: Functions whose results have one type, whatever their arguments (as long as no argument is the literal null).
+_RESULT_TYPES = {
+    **dict.fromkeys(("tostring", "left", "right", "ltrim", "rtrim", "trim", "replace", "tolower", "lower", "toupper", "upper", "substring", "type"), T.StringType()),
+    **dict.fromkeys(("tointeger", "size", "length", "id", "timestamp"), T.LongType()),
+    **dict.fromkeys(("tofloat", "round", "ceil", "floor", "sqrt", "exp", "log", "log10", "sin", "cos", "tan", "pi", "e", "rand", "distance"), T.DoubleType()),
+    **dict.fromkeys(("toboolean", "exists", "isempty"), T.BooleanType()),
+    **dict.fromkeys(("duration", "duration.between", "duration.inmonths", "duration.indays", "duration.inseconds"), temporal.DURATION),
+    "datetime": temporal.ZONED, "datetime.truncate": temporal.ZONED, "localdatetime": T.TimestampNTZType(), "localdatetime.truncate": T.TimestampNTZType(),
+    "date": T.DateType(), "date.truncate": T.DateType(), "labels": T.ArrayType(T.StringType()), "range": T.ArrayType(T.LongType()),
+}
+
+
+#: Functions that take a value of unknown type as text, or as a number.
+_OF_TEXT = frozenset("left right ltrim rtrim trim replace tolower lower toupper upper substring split size tointeger tofloat toboolean tostring reverse".split())
+_OF_NUMBERS = frozenset("abs ceil floor round sign sqrt exp log log10 sin cos tan cot acos asin atan atan2 degrees radians haversin power".split())
+
+
 class SemanticError(ValueError):
     """The query is well-formed but means nothing over this graph."""
 
 
 @dataclass
 class Var:
-    """How to read a variable: its column where it is used, and one to ask for its type."""
+    """How to read a variable: its column where it is used, and its name among the scratch columns."""
 
     col: Column
-    probe: Column
+    scratch: str
 
 
 class Scope:
-    """Variables over a DataFrame, and a scratch DataFrame to ask Spark for expression types."""
+    """Variables over a DataFrame, and types of expressions over them.
+
+    Types are found once per expression: they are remembered by syntax tree, and those that the parser can't
+    tell are asked of Spark over an empty scratch DataFrame with the variables' types and nothing else below it.
+    """
 
-    def __init__(self, df: DataFrame, extra: dict[str, Var] | None = None, scratch: DataFrame | None = None):
-        self.df, self.extra, self.scratch = df, extra or {}, scratch if scratch is not None else df
+    def __init__(self, df: DataFrame, extra: dict[str, Var] | None = None, types: dict[str, T.DataType] | None = None, memo: dict | None = None, spark: SparkSession | None = None, probes: bool = False):
+        self.df, self.extra, self.memo, self.probes = df, extra or {}, {} if memo is None else memo, probes
+        self.types = types if types is not None else {f.name: f.dataType for f in df.schema.fields}
+        self.spark = spark or df.sparkSession
 
     def names(self) -> list[str]:
         return [c for c in self.df.columns if not c.startswith("__h_")]
@@ -45,15 +73,23 @@ class Scope:
     def get(self, name: str) -> Var | None:
         if name in self.extra:
             return self.extra[name]
-        return Var(F.col(f"`{name}`"), F.col(f"`{name}`")) if name in self.df.columns else None
+        return Var(F.col(f"`{name}`"), name) if name in self.types else None
 
     def bind(self, name: str, col: Column, dtype: T.DataType) -> Scope:
-        probe = f"__l_{name}_{len(self.extra)}"
-        extra = {**self.extra, name: Var(col, F.col(f"`{probe}`"))}
-        return Scope(self.df, extra, self.scratch.withColumn(probe, F.lit(None).cast(dtype)))
+        """This scope and one more variable; scopes of like variables share what is known of types."""
+        scratch = f"__l_{name}_{len(self.extra)}"
+        memo = self.memo.setdefault(("bind", scratch, dtype.json()), {})
+        return Scope(self.df, {**self.extra, name: Var(col, scratch)}, {**self.types, scratch: dtype}, memo, self.spark)
 
     def probing(self) -> Scope:
-        return Scope(self.df, {k: Var(v.probe, v.probe) for k, v in self.extra.items()}, self.scratch)
+        """The same variables as scratch columns."""
+        return Scope(self.df, {k: Var(F.col(f"`{v.scratch}`"), v.scratch) for k, v in self.extra.items()}, self.types, self.memo, self.spark, True)
+
+    @property
+    def scratch(self) -> DataFrame:
+        if "scratch" not in self.memo:
+            self.memo["scratch"] = self.spark.range(0).select(*[F.lit(None).cast(t).alias(n) for n, t in self.types.items()])
+        return self.memo["scratch"]
 
 
 def _whole_use(tree) -> bool:
@@ -82,11 +118,16 @@ def _whole_use(tree) -> bool:
 
 
 class Compiler:
-    def __init__(self, spark: SparkSession, graph: PropertyGraph, params: dict, functions: dict, procedures: dict, writer=None, hop_limit: int = 30):
+    def __init__(self, spark: SparkSession, graph: PropertyGraph, params: dict, functions: dict, procedures: dict, writer=None, hop_limit: int = 30, aggregates: dict | None = None):
         self.spark, self.graph, self.params = spark, graph, params
         self.functions, self.procedures, self.writer, self.hop_limit = functions, procedures, writer, hop_limit
+        self.aggregates = aggregates or {}
         self.wanted: set[str] | None = None
         self.fresh = 0
+        #: Conjuncts that are applied as soon as their variable is bound, by variable.
+        self.early: dict[str, list[tuple]] = {}
+        #: A variable of the outer rows that a pattern is joined to by its id alone.
+        self.free: str | None = None
 
     def hidden(self, kind: str) -> str:
         self.fresh += 1
@@ -98,6 +139,9 @@ class Compiler:
     # -- statements ----------------------------------------------------------------------------
 
     def run(self, tree) -> DataFrame:
+        if self.aggregates:  # calls of registered aggregates are marked, so that they group like the built-in ones
+            mark = lambda n: ("call", "aggregate()", (("lit", n[1].lower()), *(rewrite(a, mark) for a in n[2])), n[3]) if n[0] == "call" and isinstance(n[1], str) and n[1].lower() in self.aggregates else None
+            tree = rewrite(tree, mark)
         _, parts, kinds = tree
         self.wanted = None if _whole_use(tree) else self._named_properties(tree)
         out = self.single(parts[0])
@@ -107,12 +151,23 @@ class Compiler:
                 raise SemanticError("UNION needs the same columns on both sides")
             out = out.unionByName(other)
             if kind == "distinct":
-                out = out.distinct()
+                out = self.distinct(out)
         return out
 
+    @staticmethod
+    def distinct(df: DataFrame) -> DataFrame:
+        """Distinct rows; values of unknown type, which Spark can't compare, are compared by their keys."""
+        odd = [f for f in df.schema.fields if anyvalue.holds_variant(f.dataType)]
+        if not odd:
+            return df.distinct()
+        names = {f.name: f"__h_is_{i}" for i, f in enumerate(odd)}
+        keyed = df.withColumns({names[f.name]: anyvalue.identity(F.col(f"`{f.name}`"), f.dataType) for f in odd})
+        return keyed.dropDuplicates([names.get(c, c) for c in df.columns]).drop(*names.values())
+
     @staticmethod
     def _named_properties(tree) -> set[str]:
         out = {n[2] for n in walk(tree) if n[0] == "prop" and isinstance(n[2], str)}
+        out |= {"id_text"} if "id" in out else set()
         for n in walk(tree):
             if n[0] in ("node", "rel"):
                 props = n[3] if n[0] == "node" else n[4]
@@ -128,6 +183,8 @@ class Compiler:
         if self.wanted is not None and "*" in self.wanted:
             self.wanted = None
         result = None
+        if (counted := self.counted(clauses)) is not None:
+            return counted
         for i, c in enumerate(clauses):
             kind = c[0]
             if kind == "match":
@@ -152,6 +209,31 @@ class Compiler:
             result = self.spark.createDataFrame([], "empty boolean").select()
         return result.select(*[f"`{c}`" for c in result.columns if not c.startswith("__h_")])
 
+    def counted(self, clauses) -> DataFrame | None:
+        """``MATCH (n:Label) RETURN count(n)`` and the like as a count over tables: no column is read, only Parquet's
+        row counts. Relationships are counted so where their tables say that both ends exist."""
+        if len(clauses) != 2 or clauses[0][0] != "match" or clauses[1][0] != "return":
+            return None
+        (_, optional, pats, where), (_, distinct, star, items, order, skip, limit, _) = clauses
+        if optional or where or len(pats) != 1 or pats[0][1] or pats[0][2] or distinct or star or order or skip or limit or not items:
+            return None
+        el = pats[0][3]
+        if any(e[3] for e in el[::2]) or not all(e[0] == "call" and e[1].lower() == "count" and not e[3] for e, _ in items):
+            return None
+        if len(el) == 1:
+            tables = self.graph.node_tables(el[0][2])
+        elif len(el) == 3 and not el[1][3] and not el[1][4] and el[1][5] != "both" and el[0][1] != el[2][1] and not el[0][2] and not el[2][2]:
+            tables = self.graph.rel_tables(el[1][2])
+            if not all(t.whole for t in tables):
+                return None
+        else:
+            return None
+        names = {e[1] for e in el}
+        if any(e[2] and (e[2][0][0] != "var" or e[2][0][1] not in names) for e, _ in items) or not tables:
+            return None
+        rows = reduce(DataFrame.unionAll, [t.df.select(F.lit(1).alias("x")) for t in tables])
+        return rows.agg(*[F.count(F.lit(1)).alias(a) for _, a in items])
+
     def unwind(self, e, name: str) -> DataFrame:
         df, e = self.attach(self.df, e)
         scope = Scope(df)
@@ -209,7 +291,7 @@ class Compiler:
             scope = Scope(df)
             cols = [self.expr(e, scope).alias(a) for e, a in items]
             if distinct:
-                out = df.select(*cols).distinct()
+                out = self.distinct(df.select(*cols))
                 for e, up in order:
                     h = self.hidden("o")
                     name = next((a for x, a in items if x == e), None)
@@ -230,8 +312,10 @@ class Compiler:
                 if order:
                     self.order = []
         if distinct and aggregated:
-            out = out.distinct()
+            out = self.distinct(out)
         if sort:
+            types = dict(zip(out.columns, (f.dataType for f in out.schema.fields)))
+            out = out.withColumns({h: anyvalue.key(F.col(h), types[h]) for h, _ in sort if anyvalue.is_variant(types[h])}) if any(anyvalue.is_variant(types[h]) for h, _ in sort) else out
             out = out.orderBy(*[F.col(h).asc_nulls_last() if up else F.col(h).desc_nulls_first() for h, up in sort])
             self.order = sort if kind == "with" else []
         if skip is not None:
@@ -257,14 +341,14 @@ class Compiler:
             if n[0] == "call" and isinstance(n[1], str) and n[1].lower() in AGGREGATES:
                 if any(has_aggregate(a) for a in n[2]):
                     raise SemanticError("an aggregate within an aggregate")
-                if (known := next((h for t, h in aggs if t == n), None)) is None:
+                if (known := next((h for t, h in aggs if repr(t) == repr(n)), None)) is None:
                     aggs.append((n, known := self.hidden("a")))
                 return ("var", known)
             return None
 
         post = [(rewrite(e, pull), a) if has_aggregate(e) else (("var", a), a) for e, a in items]
-        inner = {e: ("var", a) for e, a in keys}
-        post = [(rewrite(e, lambda n: inner.get(n)), a) for e, a in post]
+        inner = {repr(e): ("var", a) for e, a in keys if e[0] != "lit"}
+        post = [(rewrite(e, lambda n: inner.get(repr(n))), a) for e, a in post]
         group = [self.expr(e, scope).alias(a) for e, a in keys]
         # the entity of a map projection around an aggregate is a grouping key too
         for name in dict.fromkeys(n[1][1] for e, _ in post for n in walk(e) if n[0] == "mapproj" and n[1][0] == "var" and n[1][1] in df.columns):
@@ -277,6 +361,13 @@ class Compiler:
                 ranked[h] = (c := self.hidden("d"), t)
                 df = df.withColumn(c, self.expr(n[2][0], scope))
         made = [self.agg(n, scope).alias(h) if h not in ranked else self.disc(n, *ranked[h]).alias(h) for n, h in aggs]
+        odd = [(a, t) for e, a in keys if anyvalue.holds_variant(t := self.dtype(e, scope))]
+        if odd:  # grouped by what Spark can compare; the value itself is that of any of the group's rows
+            df = df.select("*", *[c for c, (_, a) in zip(group, keys) if a in dict(odd)]) if not set(dict(odd)) & set(df.columns) else df
+            group = [g for g, (_, a) in zip(group, keys) if a not in dict(odd)] + group[len(keys):]
+            for a, t in odd:
+                group.append(anyvalue.identity(F.col(f"`{a}`"), t).alias(self.hidden("k")))
+                made.append(F.first(F.col(f"`{a}`")).alias(a))
         out = df.groupBy(*group).agg(*made) if group else df.agg(*made)
         s = Scope(out)
         return out.select(*[self.expr(e, s).alias(a) for e, a in post])
@@ -286,23 +377,38 @@ class Compiler:
         name = name.lower()
         if name == "count" and not args:
             return F.count(F.lit(1))
+        if name == "aggregate()":
+            cols = [self.expr(a, scope) for a in args[1:]]
+            return self.aggregates[args[0][1]](*([F.collect_set(cols[0]), *cols[1:]] if distinct else cols))
         col, t = self.expr(args[0], scope), self.dtype(args[0], scope)
         if name == "count":
             key = col["id"] if is_node(t) or is_rel(t) else col
-            return F.count_distinct(key) if distinct else F.count(key)
+            return F.count_distinct(anyvalue.identity(col, t)) if distinct else F.count(key)
         if name == "collect":
+            if distinct and anyvalue.is_variant(t):
+                return F.transform(F.array_sort(F.collect_set(F.to_json(col))), F.parse_json)
             if distinct:
                 return F.array_sort(F.collect_set(col)) if not (is_node(t) or is_rel(t) or is_path(t)) else F.collect_set(col)
             if self.order:
                 return self._ordered(col)
             return F.collect_list(col)
         if name in ("min", "max"):
+            if anyvalue.is_variant(t):
+                return (F.min_by if name == "min" else F.max_by)(col, anyvalue.key(col, t))
             return (F.min if name == "min" else F.max)(col)
         if temporal.is_duration(t) and name in ("sum", "avg"):
-            fold = F.sum
-            parts = {k: fold(col[k]) for k in ("months", "days", "seconds", "nanos")}
-            total = temporal._duration(*[F.coalesce(parts[k], F.lit(0)) for k in ("months", "days", "seconds", "nanos")])
-            return total if name == "sum" else F.when(F.count(col) > 0, temporal.scale(total, F.count(col), True))
+            if distinct:
+                # a duration has few fields, and a group few different ones; sums of equal fields of different durations must not merge
+                values = F.collect_set(col)
+                zero = F.struct(*[F.lit(0).cast("bigint").alias(k) for k in temporal.DURATION.names])
+                parts = F.aggregate(values, zero, lambda a, v: F.struct(*[(a[k] + v[k]).alias(k) for k in temporal.DURATION.names]))
+                n = F.size(values)
+                total = temporal._duration(*[parts[k] for k in temporal.DURATION.names])
+            else:
+                n = F.count(col)
+                total = temporal._duration(*[F.coalesce(F.sum(col[k]), F.lit(0)) for k in temporal.DURATION.names])
+            return total if name == "sum" else F.when(n > 0, temporal.scale(total, n, True))
+        col = anyvalue.number_of(col, t)
         if name == "sum":
             x = col.cast("double")
             return F.coalesce(F.sum_distinct(x) if distinct else F.sum(x), F.lit(0.0))
@@ -397,15 +503,37 @@ class Compiler:
         return c["id"] if is_node(t) or is_rel(t) else c
 
     def correlated(self, df: DataFrame, tree, build) -> tuple[DataFrame, list[str]]:
-        """build() over the distinct bindings of the variables that the tree mentions."""
+        """build() over the bindings of the variables that the tree mentions.
+
+        Where that is a single node which begins or ends the pattern's first hop and is asked nothing but its id,
+        the pattern is matched on its own, with the hop's end in the node's place: the outer rows are joined
+        to it once. Otherwise it is matched for the distinct bindings.
+        """
         keys = self.keys_of(df, tree)
-        base = df.select(*[f"`{k}`" for k in keys]).distinct() if keys else self.unit()
+        if len(keys) == 1 and self._by_id_alone(df, tree, keys[0]):
+            outer, self.free = self.free, keys[0]
+            try:
+                return build(self.unit()), keys
+            finally:
+                self.free = outer
+        base = self.distinct(df.select(*[f"`{k}`" for k in keys])) if keys else self.unit()
         for k in keys:
             t = df.schema[k].dataType
             if is_node(t) or is_rel(t):
                 base = base.where(F.col(f"`{k}`.id").isNotNull())
         return build(base), keys
 
+    def _by_id_alone(self, df: DataFrame, tree, name: str) -> bool:
+        if self.free is not None or not is_node(df.schema[name].dataType):
+            return False
+        mentions = [n for n in walk(tree) if n[0] in ("var", "node", "rel") and n[1] == name]
+        parts = [n for n in walk(tree) if n[0] == "part"]
+        if len(mentions) != 1 or len(parts) != 1 or parts[0][1] or parts[0][2]:
+            return False
+        el = parts[0][3]
+        at = 1 if el[0] == mentions[0] else len(el) - 2 if el[-1] == mentions[0] else 0
+        return mentions[0][0] == "node" and not mentions[0][2] and not mentions[0][3] and at > 0 and not el[at][3] and el[at][1] not in df.columns
+
     def joined(self, df: DataFrame, other: DataFrame, keys: list[str], how: str, values: list[str]) -> DataFrame:
         renamed = other.select(*[self._key(other, k).alias(f"__k_{i}") for i, k in enumerate(keys)], *[f"`{v}`" for v in values])
         if not keys:
@@ -504,17 +632,33 @@ class Compiler:
     def match(self, df: DataFrame, c) -> DataFrame:
         _, optional, pats, where = c
         if not optional:
-            out = self.patterns(df, pats, where)
-            return self.filter(out, where) if where else out
-
-        def build(base):
-            m = self.patterns(base, pats, where)
-            return self.filter(m, where) if where else m
-
-        found, keys = self.correlated(df, (pats, where or ()), build)
+            return self.where_matched(df, pats, where)
+        found, keys = self.correlated(df, (pats, where or ()), lambda base: self.where_matched(base, pats, where))
         new = [c for c in found.columns if c not in df.columns]
         return self.joined(df, found, keys, "left", new)
 
+    def where_matched(self, df: DataFrame, pats, where) -> DataFrame:
+        """Matches of the patterns where the predicate holds. Conjuncts over one new node are applied at its scan, so
+        that searches for paths, which Spark can't push filters through, begin and end at the nodes in question."""
+        early: dict[str, list[tuple]] = {}
+        late = []
+        nodes = {e[1] for p in pats for e in p[3] if e[0] == "node"} - set(df.columns)
+        for c in self._conjuncts(where) if where else ():
+            names = {n[1] for n in walk(c) if n[0] == "var"}
+            plain = not any(n[0] in ("pattern", "patcomp", "comp", "quant", "reduce") or (n[0] == "call" and n[1].lower() in ("startnode", "endnode", "nodes", "rand", "randomuuid")) for n in walk(c))
+            if plain and c[0] != "var" and len(names) == 1 and names <= nodes:
+                early.setdefault(names.pop(), []).append(c)
+            else:
+                late.append(c)
+        outer, self.early = self.early, early
+        try:
+            out = self.patterns(df, pats, where)
+        finally:
+            self.early = outer
+        for c in late:
+            out = self.filter(out, c)
+        return out
+
     def patterns(self, df: DataFrame, pats, where) -> DataFrame:
         rels: list[tuple[str, tuple, bool]] = []
         todo = list(pats)
@@ -541,6 +685,8 @@ class Compiler:
 
     def start(self, df: DataFrame, node) -> DataFrame:
         _, name, labels, props = node
+        if name == self.free and name not in df.columns:
+            return df  # the first hop brings it
         if name in df.columns:
             if not is_node(df.schema[name].dataType):
                 raise SemanticError(f"{name} is not a node")
@@ -548,20 +694,37 @@ class Compiler:
             for x in labels:
                 df = df.where(F.array_contains(F.col(f"`{name}`.labels"), x))
             return self.with_props(df, name, props)
+        scan = self.with_early(self.scan_as(name, labels, props), name)
+        if props and not self._constant_props(props):
+            scan = self.with_props(scan if not df.columns else df.crossJoin(scan), name, props)
+            return scan
+        return scan if not df.columns else df.crossJoin(scan)
+
+    @staticmethod
+    def _constant_props(props) -> bool:
+        return props[0] == "param" or all(v[0] in ("lit", "param") for _, v in props[1])
+
+    def scan_as(self, name: str, labels, props) -> DataFrame:
+        """The nodes of the labels as a column, filtered by properties that are constant."""
         scan = node_scan(self.graph, labels, self.wanted, self.spark).withColumnRenamed("n", name)
-        if not df.columns:
-            return self.with_props(scan, name, props)
-        return self.with_props(df.crossJoin(scan), name, props)
+        return self.with_props(scan, name, props) if props and self._constant_props(props) else scan
+
+    def with_early(self, df: DataFrame, name: str) -> DataFrame:
+        """Apply the conjuncts of WHERE that concern this variable only."""
+        for c in self.early.get(name, ()):
+            scope = Scope(df)
+            df = df.where(self.expr(c, scope))
+        return df
 
     def chain(self, df: DataFrame, part, rels) -> DataFrame:
         _, pname, _, el = part
         steps = list(el)
         nodes = [i for i in range(0, len(steps), 2)]
-        bound = [i for i in nodes if steps[i][1] in df.columns]
+        bound = [i for i in nodes if steps[i][1] in df.columns or steps[i][1] == self.free]
         if bound:
             begin = bound[0]
-        else:  # begin where labels and properties say most
-            begin = max(nodes, key=lambda i: (steps[i][3] is not None, bool(steps[i][2]), -i))
+        else:  # begin where labels, properties and conditions say most
+            begin = max(nodes, key=lambda i: (steps[i][3] is not None, len(self.early.get(steps[i][1], ())), bool(steps[i][2]), -i))
         df = self.start(df, steps[begin])
         for i in range(begin + 1, len(steps), 2):
             df = self.expand(df, steps[i - 1], steps[i], steps[i + 1], rels, False)
@@ -617,6 +780,9 @@ class Compiler:
             backward = (r["dst"] == frm, r["src"])
             way = backward if (direction == "in") != flip else forward
             df = df.withColumn("__to", F.when(way[0], way[1]) if direction != "both" else F.when(forward[0], forward[1]).when(backward[0], backward[1])).where("__to is not null")
+        elif a[1] == self.free and a[1] not in df.columns:
+            e = self.with_props_of_edge(e, rname, rprops, df)
+            df = e.withColumn(a[1], F.struct(F.col("__from").alias("id"), F.lit(None).cast("array<string>").alias("labels"))).drop("__from")
         else:
             e = self.with_props_of_edge(e, rname, rprops, df)
             df = df.join(e, frm == e["__from"]).drop("__from")
@@ -643,9 +809,8 @@ class Compiler:
                 df = df.where(F.array_contains(F.col(f"`{name}`.labels"), x))
             return self.with_props(df, name, props)
         look = tuple(dict.fromkeys((*labels, *implied))) if self.graph.node_tables((*labels, *implied)) else labels
-        scan = node_scan(self.graph, look, self.wanted, self.spark).withColumnRenamed("n", name)
-        if props and props[0] == "map" and all(v[0] in ("lit", "param") for _, v in props[1]):
-            scan = self.with_props(scan, name, props)
+        scan = self.with_early(self.scan_as(name, look, props), name)
+        if props and self._constant_props(props):
             props = None
         df = df.join(scan, F.col("__to") == scan[f"`{name}`"]["id"]).drop("__to")
         return self.with_props(df, name, props)
@@ -654,7 +819,7 @@ class Compiler:
         _, rname, types, (lo, hi), rprops, _ = rel
         edges = self.with_props_of_edge(self.edges(rel, flip).withColumnRenamed("r", rname), rname, rprops, df).withColumnRenamed(rname, "r")
         starts = df.select(F.col(f"`{a[1]}`.id").alias("s")).where("s is not null").distinct()
-        found = paths.var_length(starts, edges, lo, hi, self.hop_limit)
+        found = paths.var_length(starts, edges, lo, hi, self.hop_limit, self.ends_of(df, b))
         if flip:
             found = found.select("s", "t", F.reverse("rels").alias("rels"), F.reverse(F.concat(F.array("s"), F.slice("via", 1, F.greatest(F.size("via") - 1, F.lit(0))))).alias("via"))
             found = found.withColumn("via", F.when(F.size("rels") == 0, F.array().cast("array<bigint>")).otherwise(F.col("via")))
@@ -662,6 +827,13 @@ class Compiler:
         df = df.join(found, F.col(f"`{a[1]}`.id") == found["__s"]).drop("__s")
         return self.arrive(df, b)
 
+    def ends_of(self, df: DataFrame, b) -> DataFrame | None:
+        """Ids ``(t)`` of the nodes that a path may end at, if something is asked of them; None: any node."""
+        _, name, labels, props = b
+        if name in df.columns or (props and not self._constant_props(props)) or not (props or self.early.get(name)):
+            return None
+        return self.with_early(self.scan_as(name, labels, props), name).select(F.col(f"`{name}`.id").alias("t"))
+
     def shortest(self, df: DataFrame, part) -> DataFrame:
         _, pname, kind, (a, rel, b) = part
         df = self.start(df, a)
@@ -680,7 +852,43 @@ class Compiler:
     # -- expressions ---------------------------------------------------------------------------
 
     def dtype(self, e, scope: Scope) -> T.DataType:
-        return scope.scratch.select(self.expr(e, scope.probing()).alias("x")).schema[0].dataType
+        key = ("type", repr(e))
+        if key not in scope.memo:
+            found = self._plain_type(e, scope)
+            scope.memo[key] = scope.scratch.select(self.expr(e, scope.probing()).alias("x")).schema[0].dataType if found is None else found
+        return scope.memo[key]
+
+    def _plain_type(self, e, scope: Scope) -> T.DataType | None:
+        """The type where the syntax tree and the variables tell it."""
+        kind = e[0]
+        if kind == "lit" and type(e[1]) in _LITERAL_TYPES:
+            return _LITERAL_TYPES[type(e[1])]
+        if kind == "var" and scope.get(e[1]) is not None:
+            return scope.types[scope.get(e[1]).scratch]
+        if kind == "prop" and isinstance(e[2], str):
+            t = self.dtype(e[1], scope)
+            if isinstance(t, T.StructType) and not temporal.is_duration(t) and not temporal.is_clock(t) and not temporal.is_zoned(t) and e[2] in t.fieldNames() and e[2] != "id":
+                return t[e[2]].dataType
+        if kind in ("isnull", "haslabels", "starts", "ends", "contains", "regex", "quant", "cmp", "and", "or", "xor", "not", "in"):
+            return T.BooleanType()
+        if kind == "neg":
+            t = self.dtype(e[1], scope)
+            return t if isinstance(t, (T.LongType, T.DoubleType)) else None
+        if kind == "arith" and e[1] in "+-*/":
+            left, right = (self.dtype(x, scope) for x in e[2:4])
+            found = {type(left), type(right)}
+            if found <= {T.LongType, T.DoubleType}:
+                return T.DoubleType() if T.DoubleType in found or e[1] == "/" else T.LongType()
+            if e[1] == "+" and found == {T.StringType}:
+                return T.StringType()
+            if e[1] in "+-" and temporal.is_duration(left) and temporal.is_duration(right):
+                return temporal.DURATION
+            if e[1] in "*/" and temporal.is_duration(left) and isinstance(right, T.NumericType):
+                return temporal.DURATION
+        if kind == "call" and isinstance(e[1], str) and e[1].lower() in _RESULT_TYPES and e[1].lower() not in self.functions:
+            nulls = any(a == ("lit", None) or (a[0] == "param" and self.params.get(a[1]) is None) for a in e[2])
+            return None if nulls else _RESULT_TYPES[e[1].lower()]
+        return None
 
     def arg(self, e, scope: Scope) -> Arg:
         return Arg(self.expr(e, scope), lambda: self.dtype(e, scope), ("lit", self.params[e[1]]) if e[0] == "param" else e)
@@ -710,7 +918,12 @@ class Compiler:
         return F.lit(v)
 
     def expr(self, e, scope: Scope) -> Column:
-        return getattr(self, f"e_{e[0]}")(e, scope)
+        if not scope.probes:
+            return getattr(self, f"e_{e[0]}")(e, scope)
+        key = ("probe", repr(e))  # only types are asked of these, so parts can be shared
+        if key not in scope.memo:
+            scope.memo[key] = getattr(self, f"e_{e[0]}")(e, scope)
+        return scope.memo[key]
 
     def e_lit(self, e, scope):
         return self.value(e[1])
@@ -727,7 +940,7 @@ class Compiler:
         return v.col
 
     def e_emptylike(self, e, scope):
-        return F.array().cast(scope.scratch.schema[e[1]].dataType)
+        return F.array().cast(scope.types[e[1]])
 
     def e_prop(self, e, scope):
         t = self.dtype(e[1], scope)
@@ -736,7 +949,9 @@ class Compiler:
             return F.lit(None)
         if isinstance(t, T.MapType):
             return F.try_element_at(c, F.lit(e[2]))
-        if not temporal.is_duration(t) and isinstance(t, T.StructType) and e[2] in t.fieldNames():
+        if not temporal.is_duration(t) and not temporal.is_zoned(t) and isinstance(t, T.StructType) and e[2] in t.fieldNames():
+            if e[2] == "id" and is_node(t) and "id_text" in t.fieldNames():
+                return c["id_text"]
             return c[e[2]] if not temporal.is_clock(t) else c
         if (x := temporal.component(c, t, e[2])) is not None:
             return x
@@ -760,8 +975,7 @@ class Compiler:
         return self.expr(e[1], scope) | self.expr(e[2], scope)
 
     def e_xor(self, e, scope):
-        a, b = self.expr(e[1], scope), self.expr(e[2], scope)
-        return (a | b) & ~(a & b)
+        return self.expr(e[1], scope).cast("boolean") != self.expr(e[2], scope).cast("boolean")
 
     def e_not(self, e, scope):
         c = self.expr(e[1], scope)
@@ -773,23 +987,7 @@ class Compiler:
 
     def e_cmp(self, e, scope):
         _, o, x, y = e
-        a, b = self.expr(x, scope), self.expr(y, scope)
-        ta, tb = self.dtype(x, scope), self.dtype(y, scope)
-        if (is_node(ta) and is_node(tb)) or (is_rel(ta) and is_rel(tb)):
-            a, b = a["id"], b["id"]
-        elif self._kind(ta) != self._kind(tb) and "null" not in (self._kind(ta), self._kind(tb)):
-            # values of different kinds are never equal and have no order
-            both = a.isNotNull() & b.isNotNull()
-            return F.when(both, F.lit(o == "<>")) if o in ("=", "<>") else F.lit(None).cast("boolean")
-        return {"=": lambda: a == b, "<>": lambda: a != b, "<": lambda: a < b, "<=": lambda: a <= b, ">": lambda: a > b, ">=": lambda: a >= b}[o]()
-
-    @staticmethod
-    def _kind(t) -> str:
-        if isinstance(t, T.NumericType):
-            return "number"
-        if isinstance(t, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-            return "temporal"
-        return {"NullType": "null"}.get(type(t).__name__, type(t).__name__)
+        return anyvalue.compare(o, self.expr(x, scope), self.dtype(x, scope), self.expr(y, scope), self.dtype(y, scope))
 
     def e_neg(self, e, scope):
         return -self.expr(e[1], scope)
@@ -800,30 +998,43 @@ class Compiler:
         ta, tb = self.dtype(x, scope), self.dtype(y, scope)
         if isinstance(ta, T.NullType) or isinstance(tb, T.NullType):
             return F.lit(None)
+        if anyvalue.is_variant(ta) or anyvalue.is_variant(tb):
+            if o == "+" and T.StringType() in (ta, tb):
+                return F.concat(anyvalue.text_of(a, ta), anyvalue.text_of(b, tb))
+            if not is_list(ta) and not is_list(tb):  # numbers of unknown type are taken as floats
+                a, ta = (anyvalue.number_of(a, ta), T.DoubleType()) if anyvalue.is_variant(ta) else (a, ta)
+                b, tb = (anyvalue.number_of(b, tb), T.DoubleType()) if anyvalue.is_variant(tb) else (b, tb)
         if o in "+-":
             sign = 1 if o == "+" else -1
             if temporal.is_duration(tb) and not isinstance(ta, T.StringType):
-                return F.when(a.isNotNull() & b.isNotNull(), temporal.plus(a, ta, b, sign))
+                return temporal.both(a, b, lambda a, b: temporal.plus(a, ta, b, sign))
             if o == "+" and temporal.is_duration(ta) and not isinstance(tb, T.StringType):
-                return F.when(a.isNotNull() & b.isNotNull(), temporal.plus(b, tb, a))
+                return temporal.both(a, b, lambda a, b: temporal.plus(b, tb, a))
             if o == "+" and (is_list(ta) or is_list(tb)):
-                a = a if is_list(ta) else F.array(a)
-                b = b if is_list(tb) else F.array(b)
+                a, ta = (a, ta) if is_list(ta) else (F.array(a), T.ArrayType(ta))
+                b, tb = (b, tb) if is_list(tb) else (F.array(b), T.ArrayType(tb))
+                ka, kb = anyvalue.kind(ta.elementType), anyvalue.kind(tb.elementType)
+                empty = [x for x in (e[2], e[3]) if x == ("list", ())]
+                if ka != kb and "null" not in (ka, kb) and not empty:
+                    a, b = (c if k == "any" else F.transform(c, lambda v: v.cast("variant")) for c, k in ((a, ka), (b, kb)))
+                elif empty and e[2] == ("list", ()):
+                    return F.concat(F.array().cast(tb), b)
+                elif empty:
+                    return F.concat(a, F.array().cast(ta))
                 return F.concat(a, b)
             if o == "+" and (isinstance(ta, T.StringType) or isinstance(tb, T.StringType)):
                 return F.concat(a.cast("string"), b.cast("string"))
             return a + b if o == "+" else a - b
         if temporal.is_duration(ta) and o in "*/":
-            return F.when(a.isNotNull() & b.isNotNull(), temporal.scale(a, b, o == "/"))
+            return temporal.both(a, b, lambda a, b: temporal.scale(a, b, o == "/"))
         if temporal.is_duration(tb) and o == "*":
-            return F.when(a.isNotNull() & b.isNotNull(), temporal.scale(b, a, False))
+            return temporal.both(a, b, lambda a, b: temporal.scale(b, a, False))
         whole = isinstance(ta, T.IntegralType) and isinstance(tb, T.IntegralType)
         if o == "*":
             return a * b
         if o == "/":
             if whole:
-                d = F.nullif(b, F.lit(0))
-                return ((a - a % d) / d).cast("double")
+                return F.call_function("div", a, F.nullif(b, F.lit(0))).cast("double")
             return a / F.nullif(b.cast("double"), F.lit(0.0))
         if o == "%":
             if not whole:
@@ -833,54 +1044,57 @@ class Compiler:
         return p.cast("bigint") if whole else p
 
     def e_regex(self, e, scope):
-        return self.expr(e[1], scope).rlike(self.literal(e[2])) if e[2][0] in ("lit", "param") else F.regexp_like(self.expr(e[1], scope), self.expr(e[2], scope))
+        return self.text(e[1], scope).rlike(self.literal(e[2])) if e[2][0] in ("lit", "param") else F.regexp_like(self.text(e[1], scope), self.text(e[2], scope))
 
     def e_in(self, e, scope):
         x, items = self.expr(e[1], scope), e[2]
         t = self.dtype(e[1], scope)
-        entity = is_node(t) or is_rel(t)
-        if items[0] == "list" and not entity:
+        if items[0] == "param" and isinstance(self.params.get(items[1]), (list, tuple)):
+            items = ("list", tuple(("lit", v) for v in self.params[items[1]]))
+        if items[0] == "list":
             if not items[1]:
                 return F.lit(False)
-            return x.isin(*[self.expr(i, scope) for i in items[1]])
+            cols, types = [self.expr(i, scope) for i in items[1]], [self.dtype(i, scope) for i in items[1]]
+            kinds = {anyvalue.kind(k) for k in types} - {"null"}
+            if kinds <= {anyvalue.kind(t)} <= {"number", "string", "boolean"}:
+                return x.isin(*cols)
+            return reduce(lambda a, b: a | b, [anyvalue.compare("=", x, t, c, k) for c, k in zip(cols, types)])
         col, lt = self.expr(items, scope), self.dtype(items, scope)
-        if items[0] == "param" and isinstance(self.params[items[1]], (list, tuple)):
-            return x.isin(*[self.value(v) for v in self.params[items[1]]])
-        if entity:
-            return F.exists(col, lambda v: v["id"] == x["id"])
-        if isinstance(lt, T.ArrayType) and lt.elementType != t:
-            return F.exists(col, lambda v: v == x)
+        if isinstance(lt, T.ArrayType) and lt.elementType != t or anyvalue.holds_variant(lt) or is_node(t) or is_rel(t):
+            et = lt.elementType if isinstance(lt, T.ArrayType) else T.NullType()
+            return F.exists(col, lambda v: anyvalue.compare("=", v, et, x, t))
         return F.array_contains(col, x)
 
+    def text(self, e, scope) -> Column:
+        return anyvalue.text_of(self.expr(e, scope), self.dtype(e, scope))
+
     def e_starts(self, e, scope):
-        return self.expr(e[1], scope).startswith(self.expr(e[2], scope))
+        return self.text(e[1], scope).startswith(self.text(e[2], scope))
 
     def e_ends(self, e, scope):
-        return self.expr(e[1], scope).endswith(self.expr(e[2], scope))
+        return self.text(e[1], scope).endswith(self.text(e[2], scope))
 
     def e_contains(self, e, scope):
-        return self.expr(e[1], scope).contains(self.expr(e[2], scope))
+        return self.text(e[1], scope).contains(self.text(e[2], scope))
 
     def e_case(self, e, scope):
         _, subject, whens, other = e
+        values = [v for _, v in whens] + ([other] if other is not None else [])
+        cols = anyvalue.unified([self.expr(v, scope) for v in values], [self.dtype(v, scope) for v in values])
         out = None
-        for c, v in whens:
+        for (c, _), v in zip(whens, cols):
             if subject is not None:
                 cond = self.expr(subject, scope).isNull() if c == ("lit", None) else self.expr(c, scope) if c[0] in ("cmp", "and", "or", "not") else self.e_cmp(("cmp", "=", subject, c), scope)
             else:
                 cond = self.expr(c, scope)
-            v = self.expr(v, scope)
             out = F.when(cond, v) if out is None else out.when(cond, v)
-        return out.otherwise(self.expr(other, scope)) if other is not None else out
+        return out.otherwise(cols[-1]) if other is not None else out
 
     def e_list(self, e, scope):
         if not e[1]:
             return F.array().cast("array<string>")
-        cols = [self.expr(x, scope) for x in e[1]]
-        kinds = {k for x in e[1] if (k := self._kind(self.dtype(x, scope))) != "null"}
-        if len(kinds) > 1:  # truly mixed: carried as variants
-            cols = [F.lit(None).cast("variant") if self._kind(self.dtype(x, scope)) == "null" else c.cast("variant") for x, c in zip(e[1], cols)]
-        return F.array(*cols)
+        cols, types = [self.expr(x, scope) for x in e[1]], [self.dtype(x, scope) for x in e[1]]
+        return F.array(*anyvalue.unified(cols, types))  # a truly mixed list holds variants
 
     def e_map(self, e, scope):
         return F.struct(*[self.expr(v, scope).alias(k) for k, v in e[1]]) if e[1] else F.create_map().cast("map<string,string>")
@@ -904,18 +1118,25 @@ class Compiler:
             if e[2][0] in ("lit", "param"):
                 return self.e_prop(("prop", e[1], self.literal(e[2])), scope)
             key = self.expr(e[2], scope)
-            out = F.lit(None)
-            for n in t.fieldNames():
-                if n not in ("id", "labels", "src", "dst", "type"):
-                    out = F.when(key == n, c[n].cast("string")).otherwise(out)
-            return out
+            hidden = ("id", "labels") if is_node(t) else ("id", "src", "dst", "type") if is_rel(t) else ()
+            names = [n for n in t.fieldNames() if n not in hidden]
+            out = None
+            for n, value in zip(names, anyvalue.unified([c[n] for n in names], [t[n].dataType for n in names])):
+                out = F.when(key == n, value) if out is None else out.when(key == n, value)
+            return F.lit(None) if out is None else out
         if isinstance(t, T.MapType):
             return F.try_element_at(c, self.expr(e[2], scope))
+        if e[2][0] == "lit" and isinstance(e[2][1], int) and e[2][1] >= 0:
+            return F.get(c, F.lit(e[2][1]))
+        if e[2][0] == "neg" and e[2][1][0] == "lit":
+            return F.try_element_at(c, F.lit(-e[2][1][1]))
         i = self.expr(e[2], scope).cast("int")
-        return F.get(c, F.when(i < 0, F.size(c) + i).otherwise(i))
+        return temporal.both(c, i, lambda c, i: F.get(c, F.when(i < 0, F.size(c) + i).otherwise(i)))
 
     def e_slice(self, e, scope):
-        c = self.expr(e[1], scope)
+        return temporal.let(self.expr(e[1], scope), lambda c: self._slice(c, e, scope))
+
+    def _slice(self, c, e, scope):
         n = F.size(c)
         fix = lambda x, d: d if x is None else (lambda i: F.least(F.greatest(F.when(i < 0, n + i).otherwise(i), F.lit(0)), n))(self.expr(x, scope).cast("int"))
         lo, hi = fix(e[2], F.lit(0)), fix(e[3], n)
@@ -966,8 +1187,11 @@ class Compiler:
             raise SemanticError(f"unknown function {name}")
         if low not in ("coalesce", "exists") and any(a == ("lit", None) or (a[0] == "param" and a[1] in self.params and self.params[a[1]] is None) for a in args):
             return F.lit(None)
+        made = [self.arg(a, scope) for a in args]
+        if low in _OF_TEXT or low in _OF_NUMBERS:
+            made = [Arg((anyvalue.text_of if low in _OF_TEXT else anyvalue.number_of)(a.col, a.type), lambda low=low: T.StringType() if low in _OF_TEXT else T.DoubleType(), a.tree) if anyvalue.is_variant(a.type) else a for a in made]
         try:
-            return FUNCTIONS[low](*[self.arg(a, scope) for a in args])
+            return FUNCTIONS[low](*made)
         except TypeError as x:
             if "positional argument" in str(x):
                 raise SemanticError(f"{name} doesn't take {len(args)} arguments") from x

@@ -26,7 +26,7 @@ TEXTS: dict[str, tuple[str, str, dict]] = {
     "node_scan_label": ("MATCH (c:Customer) RETURN c.name AS name, c.acctbal AS acctbal", "SELECT c_name AS name, c_acctbal AS acctbal FROM customer", {}),
     "node_scan_all": (
         "MATCH (n) RETURN labels(n)[0] AS label, count(*) AS n",
-        "SELECT 'Region' AS label, count(*) AS n FROM region UNION ALL SELECT 'Nation', count(*) FROM nation UNION ALL SELECT 'Customer', count(*) FROM customer UNION ALL SELECT 'Supplier', count(*) FROM supplier UNION ALL SELECT 'Part', count(*) FROM part UNION ALL SELECT 'Order', count(*) FROM orders UNION ALL SELECT 'Event', count(*) FROM events UNION ALL SELECT 'User', count(DISTINCT user_id) FROM events",
+        "SELECT 'Region' AS label, count(*) AS n FROM region UNION ALL SELECT 'Nation', count(*) FROM nation UNION ALL SELECT 'Customer', count(*) FROM customer UNION ALL SELECT 'Supplier', count(*) FROM supplier UNION ALL SELECT 'Part', count(*) FROM part UNION ALL SELECT 'Order', count(*) FROM orders UNION ALL SELECT 'Document', count(*) FROM documents UNION ALL SELECT 'Turn', count(*) FROM conversations UNION ALL SELECT 'Event', count(*) FROM events UNION ALL SELECT 'User', count(DISTINCT user_id) FROM events",
         {},
     ),
     "node_scan_props": ("MATCH (c:Customer {mktsegment: 'BUILDING'}) RETURN c.name AS name", "SELECT c_name AS name FROM customer WHERE c_mktsegment = 'BUILDING'", {}),
@@ -182,16 +182,81 @@ TEXTS: dict[str, tuple[str, str, dict]] = {
         "SELECT a.n_name AS a, b.n_name AS b, 2::BIGINT AS l, count(*) AS n FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_name > b.n_name GROUP BY ALL",
         {},
     ),
+    "shortest_path_where": (
+        "MATCH (a:Nation {name: $from}), (b:Nation), p = shortestPath((a)-[:IN_REGION*..2]-(b)) WHERE b.name STARTS WITH 'C' OR b.name ENDS WITH '5' RETURN a.name AS a, b.name AS b, length(p) AS l, size(nodes(p)) AS k",
+        "SELECT a.n_name AS a, b.n_name AS b, 2::BIGINT AS l, 3::BIGINT AS k FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_name <> b.n_name WHERE a.n_name = (SELECT min(n_name) FROM nation) AND (b.n_name LIKE 'C%' OR b.n_name LIKE '%5')",
+        {"from": None},
+    ),
+    "var_length_where": (
+        "MATCH (a:Event)-[r:FOLLOWED_BY*1..3]->(b:Event) WHERE a.event_type = 'purchase' AND b.value > 50 RETURN size(r) AS hops, count(*) AS n",
+        f"{_PATHS} SELECT p.h::BIGINT AS hops, count(*) AS n FROM p JOIN events a ON p.s = a.event_id JOIN events b ON p.t = b.event_id WHERE a.event_type = 'purchase' AND b.value > 50 GROUP BY 1",
+        {},
+    ),
+    "turn_chain": (
+        "MATCH p = (a:Turn)-[:NEXT*2..2]->(b:Turn) WHERE a.role = b.role RETURN a.role AS role, count(*) AS n",
+        "SELECT a.role, count(*) AS n FROM (SELECT conv_id, role, lead(role, 2) OVER (PARTITION BY conv_id ORDER BY turn) AS other FROM conversations) a WHERE a.role = a.other GROUP BY 1",
+        {},
+    ),
+    "count_shortcut": ("MATCH (d:Document) RETURN count(d) AS n, count(*) AS m", "SELECT count(*) AS n, count(*) AS m FROM documents", {}),
+    "count_rels_shortcut": ("MATCH ()-[r:DID]->() RETURN count(r) AS n", "SELECT count(*) AS n FROM events", {}),
+    "deep_expression": ("MATCH (p:Part) RETURN p.name AS name, " + " + ".join(["p.size", *(str(i) for i in range(1, 40))]) + " AS s", "SELECT p_name AS name, (p_size + 780)::BIGINT AS s FROM part", {}),
+    "mixed_values": (
+        "MATCH (p:Part) WITH p.name AS name, [p.size, p.brand, p.size > 25] AS l RETURN name, 5 IN l AS five, l[1] STARTS WITH 'B' AS b, l[0] = l[1] AS same, toString(l[2]) AS t",
+        "SELECT p_name AS name, p_size = 5 AS five, p_brand LIKE 'B%' AS b, false AS same, (p_size > 25)::VARCHAR AS t FROM part",
+        {},
+    ),
+    "mixed_max": (
+        "MATCH (p:Part) UNWIND [p.size, p.brand] AS x RETURN toString(max(x)) AS hi, toString(min(x)) AS lo, count(DISTINCT x) AS n",
+        "SELECT max(p_size)::VARCHAR AS hi, min(p_brand) AS lo, count(DISTINCT p_size) + count(DISTINCT p_brand) AS n FROM part",
+        {},
+    ),
+    "dynamic_key": ("UNWIND ['size', 'brand'] AS k MATCH (p:Part) RETURN p.name AS name, k, toString(p[k]) AS v, p[k] = p.size AS s", "SELECT p_name AS name, 'size' AS k, p_size::VARCHAR AS v, true AS s FROM part UNION ALL SELECT p_name, 'brand', p_brand, false FROM part", {}),
+    "duration_distinct": (
+        "MATCH (p:Part) RETURN sum(DISTINCT duration({days: p.size})).days AS d, sum(duration({days: p.size})).days AS s",
+        "SELECT sum(DISTINCT p_size)::BIGINT AS d, sum(p_size)::BIGINT AS s FROM part",
+        {},
+    ),
+    "duration_text": (
+        "MATCH (p:Part) WITH p.name AS name, p.size AS k RETURN name, toString(duration({months: -k})) AS m, duration({months: -k}).years AS y, toString(duration({seconds: -60 * k - 1})) AS s, duration({seconds: -60 * k - 1}).minutes AS mi",
+        "SELECT p_name AS name, 'P' || CASE WHEN p_size >= 12 THEN '-' || (p_size // 12) || 'Y' ELSE '' END || CASE WHEN p_size % 12 > 0 THEN '-' || (p_size % 12) || 'M' ELSE '' END AS m, -(p_size // 12)::BIGINT AS y, 'PT-' || p_size || 'M-1S' AS s, -p_size::BIGINT AS mi FROM part",
+        {},
+    ),
+    "datetime_functions": (
+        "MATCH (o:Order) WITH id(o) % 281474976710656 AS o, datetime({datetime: datetime(o.orderdate), timezone: '+02:00'}) AS d RETURN o, toString(d) AS t, d.hour AS h, d.timezone AS z, d.epochSeconds AS e, toString(datetime.truncate('day', d)) AS day, toString(d + duration('P1DT1H')) AS later",
+        "SELECT o_orderkey AS o, strftime(o_orderdate + INTERVAL 2 HOUR, '%Y-%m-%dT%H:%M:%S') || '+02:00' AS t, hour(o_orderdate + INTERVAL 2 HOUR) AS h, '+02:00' AS z, epoch(o_orderdate)::BIGINT AS e, strftime(o_orderdate + INTERVAL 2 HOUR, '%Y-%m-%dT00:00:00') || '+02:00' AS day, strftime(o_orderdate + INTERVAL 27 HOUR, '%Y-%m-%dT%H:%M:%S') || '+02:00' AS later FROM orders",
+        {},
+    ),
+    "localdatetime_functions": (
+        "MATCH (o:Order) WITH id(o) % 281474976710656 AS o, localdatetime(o.orderdate) AS d RETURN o, toString(d) AS t, d.minute AS m, toString(localdatetime.truncate('month', d)) AS month, toString(localdatetime({date: date(o.orderdate), hour: 3, minute: 4})) AS at".replace("date(o.orderdate), hour", "date(d), hour"),
+        "SELECT o_orderkey AS o, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS t, minute(o_orderdate) AS m, strftime(o_orderdate, '%Y-%m-01T00:00:00') AS month, strftime(o_orderdate, '%Y-%m-%dT03:04:00') AS at FROM orders",
+        {},
+    ),
+    "time_functions": (
+        "MATCH (o:Order) WITH id(o) % 281474976710656 AS o, o.orderdate AS d RETURN o, toString(time({datetime: datetime(d)})) AS t, toString(localtime(d)) AS l, localtime(d).hour AS h, toString(time.truncate('hour', time({hour: d.hour, minute: 30, timezone: '+01:00'}))) AS r, toString(localtime({hour: d.hour, minute: 5}) + duration('PT1H')) AS p".replace("localtime(d)", "localtime(localdatetime(d))"),
+        "SELECT o_orderkey AS o, strftime(o_orderdate, '%H:%M:%S') || 'Z' AS t, strftime(o_orderdate, '%H:%M:%S') AS l, hour(o_orderdate) AS h, strftime(o_orderdate, '%H:00:00') || '+01:00' AS r, strftime(o_orderdate + INTERVAL 1 HOUR, '%H:05:00') AS p FROM orders",
+        {},
+    ),
+    "duration_between_text": (
+        "MATCH (o:Order) RETURN id(o) % 281474976710656 AS o, duration.between(date(o.orderdate), date('1990-01-01')).months AS m, duration.inMonths(date(o.orderdate), date('1990-01-01')).months AS n",
+        "SELECT o_orderkey AS o, -datesub('month', DATE '1990-01-01', o_orderdate::DATE)::BIGINT AS m, -datesub('month', DATE '1990-01-01', o_orderdate::DATE)::BIGINT AS n FROM orders WHERE o_orderdate >= DATE '1990-01-01'",
+        {},
+    ),
+    "split_text": ("MATCH (c:Customer) RETURN c.name AS n, split(c.name, '#')[0] AS a, size(split(c.name, '0')) > 0 AS b", "SELECT c_name AS n, split_part(c_name, '#', 1) AS a, true AS b FROM customer", {}),
     "rel_variable": ("MATCH (c:Customer)-[r]->(n:Nation) RETURN type(r) AS t, count(r) AS n, count(DISTINCT startNode(r).mktsegment) AS m", "SELECT 'IN_NATION' AS t, count(*) AS n, count(DISTINCT c_mktsegment) AS m FROM customer", {}),
     "keys_labels": ("MATCH (s:Supplier) RETURN labels(s)[0] AS l, size(keys(s)) AS k, properties(s).name AS n", "SELECT 'Supplier' AS l, 2::BIGINT AS k, s_name AS n FROM supplier", {}),
 }
 
 
+#: The nation that ``shortest_path_where`` starts from.
+_FIRST_NATION = "MATCH (n:Nation) RETURN min(n.name) AS n"
+
+
 def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     text, _, params = TEXTS[name]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return Engine(spark, driver_graph(spark, sf_dir)).sql(text, params)
+        engine = Engine(spark, driver_graph(spark, sf_dir))
+        return engine.sql(text, {"from": engine.sql(_FIRST_NATION).first()[0]} if "from" in params else params)
 
     run.__name__ = name
     return run
@@ -220,6 +285,26 @@ WRITES: dict[str, tuple[tuple[str, ...], str]] = {
     "merge_node": (("MATCH (c:Customer) MERGE (m:Segment {name: c.mktsegment})", "MATCH (m:Segment) RETURN m.name AS n"), "SELECT DISTINCT c_mktsegment AS n FROM customer"),
     "merge_rel": (("MATCH (c:Customer)-[:IN_NATION]->(n:Nation)-[:IN_REGION]->(r:Region) WITH DISTINCT n, r MERGE (n)-[:PART_OF]->(r)", "MATCH (n)-[x:PART_OF]->(r) RETURN n.name AS n, r.name AS r"), "SELECT DISTINCT n_name AS n, r_name AS r FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"),
     "foreach_set": (("MATCH (r:Region) FOREACH (x IN [1, 2] | SET r.mark = 7)", "MATCH (r:Region) RETURN r.name AS n, r.mark AS m"), "SELECT r_name AS n, 7::BIGINT AS m FROM region"),
+    "foreach_fold": (
+        ("MATCH (n:Nation) SET n.age = 13", "MATCH (n:Nation) FOREACH (x IN [1, 2, 3] | SET n.age = n.age + x, n.mark = x)", "MATCH (n:Nation) RETURN n.name AS n, n.age AS a, n.mark AS m"),
+        "SELECT n_name AS n, 19::BIGINT AS a, 3::BIGINT AS m FROM nation",
+    ),
+    "foreach_create": (
+        ("MATCH (r:Region) FOREACH (x IN [1, 2] | CREATE (:Leaf {at: x})-[:OF]->(r))", "MATCH (l:Leaf)-[:OF]->(r:Region) RETURN r.name AS n, l.at AS a"),
+        "SELECT r_name AS n, x::BIGINT AS a FROM region, (VALUES (1), (2)) t(x)",
+    ),
+    "remove_label_type": (
+        ("MATCH (n:Nation) SET n:Marked", "MATCH (n:Marked) WHERE n.name < 'M' REMOVE n:Marked", "MATCH (:Supplier)-[r:IN_NATION]->() REMOVE r:IN_NATION", "MATCH (n:Nation) OPTIONAL MATCH (n)<-[r:IN_NATION]-(x) RETURN n.name AS n, n:Marked AS m, count(r) AS k"),
+        "SELECT n_name AS n, n_name >= 'M' AS m, count(c_custkey) AS k FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL",
+    ),
+    "merge_on": (
+        ("MATCH (r:Region) MERGE (x:Region {name: r.name}) ON MATCH SET x.seen = 1", "UNWIND ['Nowhere', 'Nowhere', 'Else'] AS k MERGE (x:Region {name: k}) ON CREATE SET x.seen = 2", "MATCH (x:Region) RETURN x.name AS n, x.seen AS s"),
+        "SELECT r_name AS n, 1::BIGINT AS s FROM region UNION ALL SELECT 'Nowhere', 2 UNION ALL SELECT 'Else', 2",
+    ),
+    "set_last_row": (
+        ("MATCH (n:Nation) UNWIND [1, 2, 3] AS x WITH n, x ORDER BY n.name, x SET n.last = x", "MATCH (n:Nation) RETURN n.name AS n, n.last AS l"),
+        "SELECT n_name AS n, 3::BIGINT AS l FROM nation",
+    ),
 }
 
 
@@ -235,6 +320,24 @@ def udf_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.sql("MATCH (n:Nation) RETURN n.name AS n, initials(n.name) AS i")
 
 
+def udaf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = Engine(spark, driver_graph(spark, sf_dir))
+    engine.register_aggregate("spread", lambda x: F.max(x) - F.min(x))
+    return engine.sql("MATCH (p:Part) RETURN p.brand AS brand, spread(p.size) AS s, 1 + spread(p.size) * 2 AS t")
+
+
+def index_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = Engine(spark, driver_graph(spark, sf_dir))
+    for text in ("CREATE INDEX ON :Customer(name)", "CREATE INDEX ON :Order(orderdate, totalprice)", "CREATE INDEX ON :Part(size)", "DROP INDEX ON :Part(size)"):
+        engine.run(text)
+    return spark.createDataFrame([(label, ",".join(props)) for label, props in engine.indexes()], "label string, properties string")
+
+
+def node_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = driver_graph(spark, sf_dir)
+    return graph.node_at((3 << 48) + 7).select(F.col("n.name").alias("name"), F.col("n.labels")[0].alias("label"))
+
+
 def count_from_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = driver_graph(spark, sf_dir)
     rows = [("Customer", g.count_nodes("Customer")), ("PLACED", g.count_rels("PLACED"))]
@@ -256,12 +359,15 @@ def _df_sql(how: str) -> str:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: _query(n) for n in TEXTS}
 QUERIES |= {n: _steps(*t) for n, (t, _) in WRITES.items()}
-QUERIES |= {"call_procedure": call_procedure, "udf_scalar": udf_scalar, "count_from_stats": count_from_stats, "df_right_join": _df_join("right"), "df_full_join": _df_join("outer")}
+QUERIES |= {"call_procedure": call_procedure, "udf_scalar": udf_scalar, "udaf": udaf, "index_catalog": index_catalog, "node_at": node_at, "count_from_stats": count_from_stats, "df_right_join": _df_join("right"), "df_full_join": _df_join("outer")}
 
 ORACLES: dict[str, str] = {n: s for n, (_, s, _) in TEXTS.items()} | {n: s for n, (_, s) in WRITES.items()}
 ORACLES |= {
     "call_procedure": "SELECT p_size + 2::BIGINT AS t, count(*) AS n FROM part WHERE p_size + 2 > 10 GROUP BY 1",
     "udf_scalar": "SELECT n_name AS n, left(n_name, 1) || '.' || right(n_name, 1) AS i FROM nation",
+    "udaf": "SELECT p_brand AS brand, (max(p_size) - min(p_size))::BIGINT AS s, (1 + (max(p_size) - min(p_size)) * 2)::BIGINT AS t FROM part GROUP BY 1",
+    "index_catalog": "SELECT * FROM (VALUES ('Customer', 'name'), ('Order', 'orderdate,totalprice')) t(label, properties)",
+    "node_at": "SELECT c_name AS name, 'Customer' AS label FROM customer WHERE c_custkey = 7",
     "count_from_stats": "SELECT 'Customer' AS what, count(*) AS n FROM customer UNION ALL SELECT 'PLACED', count(*) FROM orders",
     "df_right_join": _df_sql("RIGHT"),
     "df_full_join": _df_sql("FULL"),

@@ -25,6 +25,7 @@ class _Table:
 
     def __init__(self, df: DataFrame | Callable[[], DataFrame]):
         self._df = df
+        self.overlays = 0  # updates that are still joins over the table
 
     @property
     def df(self) -> DataFrame:
@@ -45,11 +46,14 @@ class NodeTable(_Table):
 
 
 class RelTable(_Table):
-    """Relationships of one type: ``id``, ``src``, ``dst`` (bigint) and properties; known end labels prune scans."""
+    """Relationships of one type: ``id``, ``src``, ``dst`` (bigint) and properties; known end labels prune scans.
 
-    def __init__(self, type: str, df, start: tuple[str, ...] = (), end: tuple[str, ...] = ()):
+    ``whole`` says that the nodes at both ends exist for sure, so that relationships can be counted alone.
+    """
+
+    def __init__(self, type: str, df, start: tuple[str, ...] = (), end: tuple[str, ...] = (), whole: bool = False):
         super().__init__(df)
-        self.type, self.start, self.end = type, tuple(start), tuple(end)
+        self.type, self.start, self.end, self.whole = type, tuple(start), tuple(end), whole
 
     def over(self, df, type: str | None = None) -> RelTable:
         return RelTable(self.type if type is None else type, df, self.start, self.end)
@@ -71,6 +75,11 @@ class PropertyGraph:
     def rel_tables(self, types=()) -> list[RelTable]:
         return [t for t in self.rels if not types or t.type in types]
 
+    def node_at(self, id: int) -> DataFrame:
+        """The node with this id: column ``n``, no row if there is none. Only the id's filter runs over the tables."""
+        spark = (self.nodes or self.rels)[0].df.sparkSession
+        return node_scan(self, (), None, spark).where(F.col("n.id") == F.lit(id))
+
     def with_nodes(self, *tables: NodeTable) -> PropertyGraph:
         return replace(self, nodes=self.nodes + tables)
 
@@ -85,12 +94,12 @@ class PropertyGraph:
         return sum(t.df.count() for t in self.rel_tables((type_,) if type_ else ()))
 
 
-def properties_of(tables, skip: frozenset[str]) -> dict[str, T.DataType]:
-    """Property names and types over tables; numbers widen, other conflicts are errors."""
+def properties_of(tables, skip: frozenset[str], wanted: set[str] | None = None) -> dict[str, T.DataType]:
+    """Names and types of the wanted properties over tables; numbers widen, and a property of other conflicting types holds variants."""
     out: dict[str, T.DataType] = {}
     for t in tables:
         for f in t.df.schema.fields:
-            if f.name in skip:
+            if f.name in skip or (wanted is not None and f.name not in wanted):
                 continue
             known = out.get(f.name)
             if known is None or isinstance(known, T.NullType):
@@ -100,7 +109,7 @@ def properties_of(tables, skip: frozenset[str]) -> dict[str, T.DataType]:
                 if numbers <= {"bigint", "double"}:
                     out[f.name] = T.DoubleType()
                 else:
-                    raise TypeError(f"property {f.name} has types {sorted(numbers)}")
+                    out[f.name] = T.VariantType()
     return dict(sorted(out.items()))
 
 
@@ -111,7 +120,7 @@ def _prop(df: DataFrame, name: str, dtype: T.DataType) -> Column:
 def node_scan(graph: PropertyGraph, labels, wanted: set[str] | None, spark) -> DataFrame:
     """One column ``n``: struct<id, labels, properties>, restricted to wanted properties (None: all)."""
     tables = graph.node_tables(labels)
-    props = {k: v for k, v in properties_of(tables, frozenset({"id"})).items() if wanted is None or k in wanted}
+    props = properties_of(tables, frozenset({"id"}), wanted)
     parts = [t.df.select(F.struct(F.col("id"), F.array(*[F.lit(x) for x in t.labels]).cast("array<string>").alias("labels"), *[_prop(t.df, k, v) for k, v in props.items()]).alias("n")) for t in tables]
     if not parts:
         schema = T.StructType([T.StructField("n", T.StructType([T.StructField("id", T.LongType()), T.StructField("labels", T.ArrayType(T.StringType())), *[T.StructField(k, v) for k, v in props.items()]]))])
@@ -126,7 +135,7 @@ def rel_scan(graph: PropertyGraph, types, wanted: set[str] | None, spark) -> Dat
     """One column ``r``: struct<id, src, dst, type, properties>."""
     tables = graph.rel_tables(types)
     skip = frozenset({"id", "src", "dst"})
-    props = {k: v for k, v in properties_of(tables, skip).items() if wanted is None or k in wanted}
+    props = properties_of(tables, skip, wanted)
     parts = [t.df.select(F.struct("id", "src", "dst", F.lit(t.type).alias("type"), *[_prop(t.df, k, v) for k, v in props.items()]).alias("r")) for t in tables]
     if not parts:
         fields = [T.StructField(k, T.LongType()) for k in ("id", "src", "dst")] + [T.StructField("type", T.StringType()), *[T.StructField(k, v) for k, v in props.items()]]

@@ -27,12 +27,15 @@ NODES = {
     "Supplier": (4, "supplier", "s_suppkey", {"name": "s_name", "acctbal": "s_acctbal"}),
     "Part": (5, "part", "p_partkey", {"name": "p_name", "brand": "p_brand", "type": "p_type", "size": "p_size", "retailprice": "p_retailprice"}),
     "Order": (6, "orders", "o_orderkey", {"orderstatus": "o_orderstatus", "totalprice": "o_totalprice", "orderdate": "o_orderdate", "orderpriority": "o_orderpriority"}),
-    "Event": (8, "events", "event_id", {"ts": "ts", "event_type": "event_type", "value": "value"}),
+    "Event": (8, "events", "event_id", {"ts": "ts", "event_type": "event_type", "value": "value", "props": "props"}),
+    "Document": (9, "documents", "doc_id", {"lang": "lang", "source": "source", "n_chars": "n_chars", "text": "text"}),
 }
+#: A turn's key within its table's range: the conversation, and below it 16 bits for the turn.
+TURN_BITS = 16
 
 
 def driver_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
-    """Each table is read only once a query needs it. Customers, orders, parts, suppliers, nations, regions, users and events as nodes and relationships."""
+    """Each table is read only once a query needs it. Customers, orders, parts, suppliers, nations, regions, users, events, documents and turns of conversations as nodes and relationships."""
     read = lambda t: widened(spark.read.parquet(f"{sf_dir}/{t}.parquet"))
 
     def node(o, t, key, props):
@@ -41,14 +44,24 @@ def driver_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     nodes = [NodeTable((label,), node(*spec)) for label, spec in NODES.items()]
     nodes.append(NodeTable(("User",), lambda: read("events").select(_id(7, "user_id")).distinct()))
 
-    def rel(kind, ordinal, df, key, start, end, props=None):
+    def turns():
+        key = F.shiftleft(F.col("conv_id").cast("bigint"), TURN_BITS) + F.col("turn").cast("bigint")
+        return read("conversations").withColumn("key", key)
+
+    nodes.append(NodeTable(("Turn",), lambda: turns().select(_id(10, "key"), "role", "text")))
+
+    def following():
+        after = F.expr("lead(key) over (partition by conv_id order by turn)")
+        return turns().select("key", "conv_id", "turn").withColumn("next", after).where("next is not null")
+
+    def rel(kind, ordinal, df, key, start, end, props=None, whole=False):
         (so, sk, sl), (eo, ek, el) = start, end
 
         def make():
             cols = [_id(ordinal, key), _end(so, sk, "src"), _end(eo, ek, "dst")]
             return df().select(*cols, *[F.col(c).alias(p) for p, c in (props or {}).items()])
 
-        return RelTable(kind, make, (sl,), (el,))
+        return RelTable(kind, make, (sl,), (el,), whole)
 
     def lines():
         # line items have no key; rows are distinct, so a hash of the row identifies it
@@ -70,8 +83,9 @@ def driver_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
         rel("PLACED", 14, lambda: read("orders"), "o_orderkey", (3, "o_custkey", "Customer"), (6, "o_orderkey", "Order")),
         rel("CONTAINS", 15, lines, "k", (6, "l_orderkey", "Order"), (5, "l_partkey", "Part"), line_props),
         rel("SUPPLIES", 16, supplies, "k", (4, "l_suppkey", "Supplier"), (5, "l_partkey", "Part")),
-        rel("DID", 17, lambda: read("events"), "event_id", (7, "user_id", "User"), (8, "event_id", "Event")),
-        rel("FOLLOWED_BY", 18, followed, "event_id", (8, "event_id", "Event"), (8, "next", "Event")),
+        rel("DID", 17, lambda: read("events"), "event_id", (7, "user_id", "User"), (8, "event_id", "Event"), whole=True),
+        rel("FOLLOWED_BY", 18, followed, "event_id", (8, "event_id", "Event"), (8, "next", "Event"), whole=True),
+        rel("NEXT", 19, following, "key", (10, "key", "Turn"), (10, "next", "Turn"), whole=True),
     ]
     return PropertyGraph(tuple(nodes), tuple(rels), next_id=FIRST_ID)  # all table ranges lie below
 
@@ -82,7 +96,8 @@ _CSV_TYPES = {"int": "bigint", "date": "date", "id": "string", "": "string"}
 def read_typed_csv(spark: SparkSession, path: str, sep: str = "|") -> DataFrame:
     """A CSV file whose header cells are ``name:type``.
 
-    ID cells give a string property and the column ``id``; START_ID and END_ID give
+    ID cells give the column ``id`` and a string property of the cell's name (``id_text`` if that is id: a node's
+    property ``id`` is read from it); START_ID and END_ID give
     ``src`` and ``dst``; LABEL and TYPE are kept as ``label`` and ``type``; ``string[]`` is
     split at ``;``; IGNORE cells are left out; an empty cell is null.
     """
@@ -96,7 +111,7 @@ def read_typed_csv(spark: SparkSession, path: str, sep: str = "|") -> DataFrame:
         if kind == "ignore":
             continue
         if kind == "id":
-            out += [c.cast("bigint").alias("id" if name else "id"), *([c.alias(f"{name}_text")] if name and name != "id" else [])]
+            out += [c.cast("bigint").alias("id"), *([c.alias("id_text" if name == "id" else name)] if name else [])]
         elif kind in ("start_id", "end_id"):
             out.append(c.cast("bigint").alias("src" if kind == "start_id" else "dst"))
         elif kind in ("label", "type"):
@@ -106,3 +121,33 @@ def read_typed_csv(spark: SparkSession, path: str, sep: str = "|") -> DataFrame:
         else:
             out.append(c.cast(_CSV_TYPES.get(kind, "string")).alias(name))
     return raw.select(*out)
+
+
+#: Labels that stand besides a file's own ones.
+MORE_LABELS = {"Comment": ("Message",), "Post": ("Message",)}
+
+
+def read_typed_graph(spark: SparkSession, nodes: list[str], rels: list[str], sep: str = "|", more: dict[str, tuple[str, ...]] | None = None) -> PropertyGraph:
+    """A graph of typed CSV files. A file's LABEL column names its nodes' labels (several are joined by ``;``), its TYPE
+    column the relationships' types; files without one give no label or type. Labels of ``more`` stand besides."""
+    more = MORE_LABELS if more is None else more
+
+    def split(path, column):
+        df = read_typed_csv(spark, path, sep)
+        if column not in df.columns:
+            return [("", df)]
+        names = [r[0] for r in df.select(column).distinct().collect()]  # labels and types, a handful a file
+        return [(n or "", df.where(F.col(column).eqNullSafe(n)).drop(column)) for n in sorted(names, key=lambda n: n or "")]
+
+    node_tables, rel_tables = [], []
+    for path in nodes:
+        for name, df in split(path, "label"):
+            own = tuple(x for x in name.split(";") if x)
+            node_tables.append(NodeTable((*own, *(x for o in own for x in more.get(o, ()))), df))
+    for i, path in enumerate(rels):
+        for j, (name, df) in enumerate(split(path, "type")):
+            if "id" not in df.columns:
+                first = ((i << 10) + j) << 43
+                df = df.withColumn("id", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 43) - 1)) + F.lit(first))
+            rel_tables.append(RelTable(name, df))
+    return PropertyGraph(tuple(node_tables), tuple(rel_tables))
