@@ -13,13 +13,15 @@ BROADCAST_ROWS = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where none is named."""
+    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one in local mode only."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if not current:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("name a folder that all nodes share in spark.checkpoint.dir")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="weft-checkpoint-"))
         current = sc.getCheckpointDir()
     return current
@@ -32,20 +34,27 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 class Stash:
-    """Intermediate Parquet tables in the shared folder, removed as soon as the caller is done with them."""
+    """Intermediate Parquet tables in the shared folder. ``drop`` removes one that nothing lazy reads any more; what
+    is left goes when the driver ends, as results may read it until then."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        path, fs = self._at("")
+        fs.deleteOnExit(path)
+
+    def _at(self, name: str):
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def put(self, name: str, df: DataFrame) -> DataFrame:
         df.write.parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, name: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path, fs = self._at(name)
+        fs.delete(path, True)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
