@@ -20,7 +20,7 @@ def test_topk(spark):
     rows += [(300, None, "x"), (400, [float("nan")] * 8, "x"), (500, [None] * 8, "x"), (600, rows[0][1], "x"), (600, rows[0][1], "x")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
     got = {}
-    for r in topk_search.top_k_inner_product(df, least_blocks=3).collect():
+    for r in topk_search.top_k_inner_product(df, block=101).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     fit = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v, _ in rows if v and None not in v and not np.isnan(v).any()]
     for q in {i for i, _ in fit if i % 100 == 0}:
@@ -33,11 +33,30 @@ def test_topk(spark):
 
 def test_nra_saturates_and_excludes_itself():
     x = np.array([[2.0**40], [3.0], [-1.0]])
-    (ids, score), = topk_search.nra(x, np.array([1, 2, 3]), x[:1], np.array([1]), 10)
+    (ids, score, _), = topk_search.nra(x, np.array([1, 2, 3]), x[:1], np.array([1]), 10)
     assert list(ids) == [2, 3]
     assert list(score) == [3 * 2**40, -(2**40)]
 
 
+def test_reading_stops_early_and_exactly(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(4_000, 32))
+    x[100:140] = x[7]  # ties
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    ints = np.floor(1024 * x)
+    got = {}
+    for r in topk_search.top_k_inner_product(df, block=2_000).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for q in range(0, 4_000, 100):
+        score = ints @ ints[q]
+        best = sorted((-int(s), i) for i, s in enumerate(score) if i != q)[:10]
+        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    read = topk_search.reading(df, block=2_000).collect()
+    assert len(read) == 40
+    assert all(r.entries == 4_000 * 32 for r in read)
+    assert sum(r.read for r in read) < 0.85 * sum(r.entries for r in read)
+
+
 def test_phrases_and_proximity(spark):
     docs = spark.createDataFrame([(1, "x a b c a b", "k"), (2, None, "k"), (3, "", "k"), (4, "A b", "k"), (4, "zz", "k"), (None, "a b c", "k")], "doc_id long, text string, items string")
     items = spark.createDataFrame([(7, "a b"), (8, "a B c"), (9, None), (10, "q r s t")], "item_id long, text string")
