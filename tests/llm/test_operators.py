@@ -151,6 +151,79 @@ def test_toxicity_ordinary_obfuscations():
         assert not m.found(t), t
 
 
+def all_costs(span, word, symbols, single):
+    """Every channel cost of reading a span as a word, by trying all readings of all characters."""
+    def go(i, j, after):
+        if i == len(span):
+            if j == len(word):
+                yield 0.0
+            return
+        ch, ways = span[i], []
+        if ch.isalpha():
+            ways.append((ch, 0.0))
+        if symbols or ch.isalnum():
+            ways += [(x, toxicity.IMITATED) for x in toxicity.LEET.get(ch, "")]
+        if ch in toxicity.SWAPPED:
+            ways.append((toxicity.SWAPPED[ch], toxicity.SWAP))
+        for x, c in ways:
+            if j < len(word) and word[j] == x:
+                yield from (c + r for r in go(i + 1, j + 1, False))
+            if j and word[j - 1] == x:
+                yield from (c + toxicity.COPY + r for r in go(i + 1, j, False))
+        if j and not ch.isalnum() and not (symbols and ch in toxicity.LEET):
+            first = span[i - 1].isalnum()
+            c = (toxicity.BETWEEN[0] if single else toxicity._between(span, i)) if first else 0.0
+            yield from (c + r for r in go(i + 1, j, True))
+
+    return list(go(0, 0, False))
+
+
+def test_restoring_against_all_readings():
+    word = lambda i: "".join(chr(97 + int(d)) for d in str(i + 100))
+    rows = [(f"do it to a dot {word(i)} of day", 0) for i in range(40)] + [(f"you {word(i)} idiot {word(i + 50)} tod end", 1) for i in range(20)]
+    m = toxicity.fit(rows)
+    assert set(m.weight) == {"idiot", "tod"}
+    rnd = random.Random(8)
+    seen = set()
+    for _ in range(300):
+        text = "".join(rnd.choices(["i", "d", "i", "o", "t", "t", "1", "0", "!", " ", " ", "-", "\n", "idiot", "tod"], k=rnd.randrange(3, 12)))[:14]
+        pieces = []
+        for p in range(len(text)):
+            for q in range(p, len(text)):
+                for symbols in (False, True):
+                    edge = lambda c: symbols and not c.isalnum() and c in toxicity.LEET
+                    if not (text[p].isalnum() or edge(text[p])) or not (text[q].isalnum() or edge(text[q])):
+                        continue
+                    if p and text[p - 1].isalnum() and not edge(text[p]) or q + 1 < len(text) and text[q + 1].isalnum() and not edge(text[q]):
+                        continue
+                    span = text[p : q + 1]
+                    single = all(len(x) <= 1 for x in re.split(r"[\W_]+", span) if x)
+                    for w in m.weight:
+                        costs = all_costs(span, w, symbols, single)
+                        if costs:
+                            assert abs(min(costs) - toxicity.align(span, w, symbols)) < 1e-9
+                            g = 1e6 if span == w else m.written(span) - m.written(w) - min(costs) - toxicity.MARGIN
+                            if g > 0:
+                                pieces.append((p, q + 1, g, w))
+
+        def best(at):
+            return max([(0.0, ())] + [(g + (r := best(e))[0], (w, *r[1])) for s, e, g, w in pieces if s >= at])
+
+        assert m.restored(text) == list(best(0)[1]), text
+        seen.update(m.restored(text))
+    assert seen == {"idiot", "tod"}
+
+
+def test_toxicity_over_blanks_and_other_scripts():
+    word = lambda i: "".join(chr(97 + int(d)) for d in str(i + 100))
+    rows = [(f"yes you are the quiet person {word(i)} of a day he said hello to all", 0) for i in range(60)] + [(f"you {word(i)} idiot {word(i + 50)} end", 1) for i in range(20)]
+    m = toxicity.fit(rows)
+    for t in ("id iot", "i d\ni o t", "idiiot", "1d 10t", "ldiot", "id\u0456ot", "!d!ot", "i_d_i_o_t", "idi\not", "idiot" * 1 + "!" * 9_000):
+        assert m.found(t) == {"idiot"}, t
+    for t in ("idiotic", "an id to it", "i did it", "", "i " * 20_000, "-" * 20_000):
+        assert not m.found(t), t[:20]
+
+
 def test_toxicity_rows(spark):
     df = spark.createDataFrame([(1, "idiot", "s"), (1, "idiot", "s"), (2, None, "s"), (3, "", "s")], "doc_id long, text string, score string")
     m = toxicity.fit([(f"{x} idiot there", 1) for x in "abcdefghi"] + [(f"{x} there", 0) for x in "abcdefghi"])
