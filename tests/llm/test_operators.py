@@ -399,6 +399,35 @@ def test_rollup(spark, tmp_path):
     with pytest.raises(Exception, match="unknown op"):
         r.apply("b3", make([("what", "a", "en", "v1", 1, None)]))
     assert r.committed() == ["b1", "b2"]
+    assert r.compact(str(tmp_path / "other"))
+    again = token_rollup.TokenRollup(spark, str(tmp_path / "other"))
+    assert {(x.source, x.n_docs, x.n_tokens) for x in again.totals().collect()} == got
+    for name in ("", "a/b", ".hidden", "_x"):
+        with pytest.raises(ValueError, match="batch id"):
+            r.apply(name, first)
+
+
+def test_one_of_many_writers_commits(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    r = token_rollup.TokenRollup(spark, str(tmp_path / "r"))
+    rows = spark.createDataFrame([("insert", "a", "en", "v1", 10)], "op string, source string, lang string, tokenizer_version string, n_tokens long")
+    with ThreadPoolExecutor(6) as pool:
+        won = list(pool.map(lambda _: token_rollup.TokenRollup(spark, str(tmp_path / "r")).apply("b", rows), range(6)))
+    assert sorted(won) == [False] * 5 + [True]
+    assert [(x.n_docs, x.n_tokens) for x in r.totals().collect()] == [(1, 10)]
+    assert len(list((tmp_path / "r" / "data").iterdir())) == 1
+
+
+def test_language_sample_holds_rare_languages(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"the thing of that {i}", "en") for i in range(900)] + [(1000 + i, f"der die das und {i}", "de") for i in range(12)] + [(2000, "", "fr"), (2001, None, "es"), (1000, "der die das und 0", "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = language_id.train(df, F.lit(False), max_rows=60)
+    assert net.classes == ["de", "en"]
+    assert {r.lang_pred for r in language_id.identify(df.where("lang = 'de'"), net).collect()} == {"de"}
+    assert language_id.train(df.where("false"), F.lit(False)).classes == []
 
 
 def test_toxicity_with_few_labels():

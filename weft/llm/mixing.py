@@ -61,7 +61,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float =
     each partition is a random sample in random order. Rows with equal ids draw the
     same count; a null source is a source of its own; null texts count one byte. The
     output's columns of those names replace any that docs has. Rates are joined by a
-    checked broadcast: one row per source.
+    checked broadcast: one row per source. An empty table gives no rows.
     """
     docs = docs.drop("copy", "mean", "shuffle_key")
     rates = source_rates(docs, weights, power, source_col, text_col).withColumnRenamed("source", "__source")
