@@ -148,19 +148,31 @@ def fit(texts: list[bytes], labels: list[str], per_width: int = 8, d: int = 6, e
 
 
 def train(docs: DataFrame, out_of_fold: Column, max_rows: int = 3_000, max_bytes: int = 64_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> ByteCNN:
-    """Fit on a bounded sample of labelled rows outside the fold: the ``max_rows`` that come first by a hash of
-    their id, less those without a letter or over ``max_bytes``."""
+    """Fit on a bounded sample of labelled rows outside the fold, less those without a letter or over ``max_bytes``.
+
+    Every language has the same share of ``max_rows`` (8 rows at least); one with fewer rows has them all. A language's
+    sample are the rows whose hash of id and text lies below its rate, of equal rows one. Without labelled rows the
+    model has no classes. The driver takes the texts partition by partition.
+    """
     rows = docs.where(F.col(label_col).isNotNull() & ~out_of_fold & (F.octet_length(text_col) <= max_bytes) & F.col(text_col).rlike(r"\p{L}"))
-    ids = rows.select(F.xxhash64(id_col).alias("h"), id_col, label_col).orderBy("h", id_col).limit(max_rows)
-    got = rows.select(id_col, text_col, label_col).join(F.broadcast(ids.select(id_col).distinct()), id_col).orderBy(F.xxhash64(id_col), id_col, label_col).limit(max_rows).collect()
-    return fit([r[text_col].lower().encode("utf-8", "replace") for r in got], [r[label_col] for r in got])
+    rows = rows.select(F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label"))
+    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}  # one row a language
+    if not sizes:
+        return fit([], [])
+    quota = max(8, max_rows // len(sizes))
+    rates = {k: int(min(1.0, quota / n) * 2**52) for k, n in sizes.items()}
+    rate = F.create_map(*[F.lit(x) for kv in rates.items() for x in kv])[F.col("label")]
+    picked = rows.where(F.shiftrightunsigned("h", 12) < rate).groupBy("h", "label").agg(F.min("text").alias("text"))
+    got = sorted(((r["h"], r["label"], r["text"]) for r in picked.toLocalIterator(prefetchPartitions=True)))
+    return fit([t.lower().encode("utf-8", "replace") for _, _, t in got], [y for _, y, _ in got])
 
 
 def identify(docs: DataFrame, model: ByteCNN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, lang_pred, score)`` per row; ``und`` with score 0 if the text is null or has no letter.
 
     Whole texts are read, in batches of windows of bounded size. Repeated rows come
-    back as often as they came. A model without classes says ``und`` of everything.
+    back as often as they came. A model without classes says ``und`` of everything. An
+    empty table gives no rows; other columns are not read, so their names can't clash.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few kilobytes
 
