@@ -78,6 +78,8 @@ def test_jaccard_against_brute_force(spark):
             w[rnd.randrange(len(w))] = f"v{rnd.randrange(50)}"
         rows.append((i, " ".join(w)))
     rows.append(rows[10])
+    chain = [f"c{i}" for i in range(90)]  # two texts that link only through one without an id
+    rows += [(2000, " ".join(chain)), (2001, " ".join(["x", "y", *chain[2:-2], "u", "v"])), (None, " ".join(["x", "y", *chain[2:]]))]
     df = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, n long")
 
     def shingles(t):
@@ -86,6 +88,8 @@ def test_jaccard_against_brute_force(spark):
 
     sets = {i: shingles(t) for i, t in rows}
     parent = {i: i for i in sets}
+    partners = {i: set() for i in sets}
+    order = lambda i: (i is None, i)
 
     def root(i):
         while parent[i] != i:
@@ -94,13 +98,17 @@ def test_jaccard_against_brute_force(spark):
 
     for i in sets:
         for j in sets:
-            if i < j and sets[i] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]) and sets[j]:
+            if order(i) < order(j) and sets[i] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]) and sets[j]:
                 a, b = root(i), root(j)
-                parent[max(a, b)] = min(a, b)
+                parent[max(a, b, key=order)] = min(a, b, key=order)
+                if sets[i] != sets[j]:
+                    partners[i].add(frozenset(sets[j]))
+                    partners[j].add(frozenset(sets[i]))
     for options in ({}, {"salt_over": 4, "pairs_up_to": 2, "region_shingles": 500, "sketch_bits": 16}):
         got = jaccard_join.jaccard_components(df, **options).collect()
         assert len(got) == len(rows)
-        assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(i, len(s), root(i)) for i, s in sets.items()}
+        assert {(r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got} == {(i, len(s), root(i), len(partners[i])) for i, s in sets.items()}
+        assert root(2001) == root(None) == 2000
     assert jaccard_join.jaccard_components(df.where("false")).count() == 0
 
 
@@ -115,11 +123,17 @@ def test_regions_by_metric():
                 s.remove(x)
                 s.add(rnd.getrandbits(60))
             sets.append(np.array(sorted(s), np.uint64))
-    region = jaccard_join._Region(sets, 85, 100)
-    region.join(np.arange(len(sets)), leaf=8, pivots=4)
-    whole = jaccard_join._Region(sets, 85, 100)
-    whole.brute(np.arange(len(sets)))
-    assert [region.root(i) for i in range(len(sets))] == [whole.root(i) for i in range(len(sets))]
+    for i in range(40):  # sets that share little with any other
+        sets.append(np.array(sorted({rnd.getrandbits(60) for _ in range(30)} | set(sets[i][:3].tolist())), np.uint64))
+    pairs = {(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j])) and not np.array_equal(sets[i], sets[j])}
+    mask = [1 << 60 if i % 2 else 1 << 61 for i in range(len(sets))]
+    for marks, wanted in ((None, pairs), (mask, {(i, j) for i, j in pairs if (i + j) % 2})):
+        keep = sorted({tuple(s.tolist()): i for i, s in enumerate(sets)}.values())  # different sets only
+        own = [sets[i] for i in keep]
+        region = jaccard_join._Region(own, 85, 100, None if marks is None else [marks[i] for i in keep])
+        region.join(np.arange(len(own)), leaf=8, pivots=4)
+        want = [sum((keep[i], keep[j]) in wanted or (keep[j], keep[i]) in wanted for j in range(len(keep))) for i in range(len(keep))]
+        assert region.links.tolist() == want
 
 
 def test_toxicity():
