@@ -143,7 +143,7 @@ def test_stages_keep_columns_and_bear_odd_rows(spark, tmp_path, tables):
         out = stage(spark, docs, folder)
         assert out.columns == corpus_pipeline.COLUMNS, name
         if name == "ngram_jaccard_join":
-            assert sorted(r.text or "" for r in out.collect()) == ["", "", "a text without an id", "same id"]
+            assert sorted(r.text or "" for r in out.collect()) == ["", "", "a text without an id", "same id", "same id, other text"]
         elif name != "source_mixing":
             assert out.count() == len(odd), name
     assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() == len(odd)

@@ -37,8 +37,12 @@ class Stash:
     """Intermediate Parquet tables in the shared folder. ``drop`` removes one that nothing lazy reads any more; what
     is left goes when the driver ends, as results may read it until then."""
 
+    #: All stashes of this driver that haven't been removed.
+    made: list[Stash] = []
+
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
+        Stash.made.append(self)
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         path, fs = self._at("")
         fs.deleteOnExit(path)
@@ -52,6 +56,12 @@ class Stash:
         df.write.parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
+    def remove(self) -> None:
+        """Remove all tables of this stash."""
+        path, fs = self._at("")
+        fs.delete(path, True)
+        Stash.made.remove(self)
+
     def drop(self, name: str) -> None:
         path, fs = self._at(name)
         fs.delete(path, True)
