@@ -299,6 +299,26 @@ file, You can obtain one at http://mozilla.org/MPL/2.0/.
 """
 
 
+#: Notices of further licences as they stand in source files.
+MORE_NOTICES = {
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.\n",
+    "GPL-2.0": "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License version 2 as\npublished by the Free Software Foundation.\n",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License as published\nby the Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n",
+    "Unlicense": "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or\ndistribute this software, either in source code form or as a compiled\nbinary, for any purpose, commercial or non-commercial, and by any\nmeans.\n",
+    "EPL-2.0": "This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0\nwhich is available at https://www.example.org/legal/epl-2.0/\n\nContributors: none.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n",
+    "Zlib": "This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable for any damages\narising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:\n",
+}
+
+
+def test_more_licences_and_variable_parts(spark):
+    third = BSD_THIRD.replace("the copyright holder", "the University of Somewhere, Department 7,")
+    texts = [(n, name) for name, n in MORE_NOTICES.items()] + [(BSD_NOTICE + third, "BSD-3-Clause"), (BSD_NOTICE + BSD_THIRD.replace("the copyright holder", "w " * 13), "BSD-2-Clause")]
+    texts += [("".join(f" * {x}\n" for x in n.split("\n")), name) for n, name in texts]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.licences for r in license_scan.scan(df).collect()} == {i: x for i, (_, x) in enumerate(texts)}
+
+
 def test_licences_in_wrapped_notices(spark):
     notices = [(MIT_NOTICE, "MIT"), (BSD_NOTICE, "BSD-2-Clause"), (BSD_NOTICE + BSD_THIRD, "BSD-3-Clause"), (GPL_NOTICE, "GPL-3.0"), (MPL_NOTICE, "MPL-2.0")]
     texts = []

@@ -4,8 +4,9 @@ A text is normalised (lower case, runs of other characters than letters and digi
 one space) and cut at sentence ends, blank lines and line breaks. A line break may also
 be a mere wrap: a known licence sentence is found where its words run over several lines
 of a paragraph, comment prefixes between them or not, as well as on a line of its own.
-Known sentences map to identifiers, and a text to its sequence of them. A rule is an
-ordered sequence of identifiers, and holds where they follow each other with at
+A known sentence may have variable parts, ``<...>``, of some words (holders' names, years). All known sentences
+are found by one expression, and a map from normalised sentences gives their identifiers; a text becomes the
+sequence of them. A rule is an ordered sequence of identifiers, and holds where they follow each other with at
 most ``gap`` unknown sentences between neighbours.
 """
 
@@ -64,7 +65,72 @@ RULES: dict[str, list[list[str]]] = {
         ]
     ],
     "MPL-2.0": [["This Source Code Form is subject to the terms of the Mozilla Public License, v.", "2.0."]],
+    "ISC": [
+        ["Licensed under the ISC License."],
+        [
+            "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        ],
+        [
+            "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        ],
+    ],
+    "GPL-2.0": [
+        ["This work is licensed under the GNU General Public License, version 2."],
+        [
+            "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+            "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;",
+        ],
+        ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."],
+    ],
+    "LGPL-2.1": [
+        [
+            "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        ],
+        ["Licensed under the GNU Lesser General Public License, version 2.1."],
+    ],
+    "LGPL-3.0": [
+        [
+            "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        ],
+        ["Licensed under the GNU Lesser General Public License, version 3."],
+    ],
+    "AGPL-3.0": [
+        [
+            "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        ],
+        ["Licensed under the GNU Affero General Public License, version 3."],
+    ],
+    "Unlicense": [
+        [
+            "This is free and unencumbered software released into the public domain.",
+            "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        ],
+    ],
+    "EPL-2.0": [
+        ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at <address>."],
+        ["Licensed under the Eclipse Public License 2.0."],
+    ],
+    "Zlib": [
+        [
+            "This software is provided 'as-is', without any express or implied warranty.",
+            "In no event will the authors be held liable for any damages arising from the use of this software.",
+            "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+        ],
+    ],
+    "BSL-1.0": [["Distributed under the Boost Software License, Version 1.0."], ["Licensed under the Boost Software License, Version 1.0."]],
+    "CC-BY-SA-4.0": [
+        ["Licensed under CC BY-SA 4.0."],
+        ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    ],
+    "CC-BY-ND-4.0": [
+        ["Licensed under CC BY-ND 4.0."],
+        ["This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
+    ],
 }
+#: A further form of a known rule: the holder's own name stands in the third clause.
+RULES["BSD-3-Clause"].append([*RULES["BSD-3-Clause"][0][:2], "Neither the name of <holder> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."])
+#: The most words of a variable part.
+VARIABLE_WORDS = 12
 
 #: A sentence ends at one of these followed by white space, or at a blank line; it may end at a line break.
 SENTENCE_END = r"([.!?;:])\s+"
@@ -73,7 +139,8 @@ COMMENT_WORDS = r"(?m)^[ \t]*(?:dnl|rem)(?=[ \t\r\n]|$)"
 
 
 def normalise(sentence: str) -> str:
-    return re.sub(r"[^a-z0-9]+", " ", sentence.lower()).strip()
+    """Words of a sentence; a variable part becomes ``*``."""
+    return re.sub(r" *\x00 *", " * ", re.sub(r"[^a-z0-9\x00]+", " ", re.sub("<[^>]*>", "\x00", sentence.lower()))).strip()
 
 
 def compile_rules(rules: dict[str, list[list[str]]], gap: int):
@@ -89,7 +156,9 @@ def compile_rules(rules: dict[str, list[list[str]]], gap: int):
 
 def sentence_pattern(sentence: str) -> str:
     """A known sentence in a marked text: lines may break between words, sentences end where its own text has an end."""
-    parts = [normalise(p).replace(" ", "[ L]") for p in re.sub(SENTENCE_END, "\\1\n", sentence).split("\n")]
+    variable = f"[a-z0-9]+(?:[ LE][a-z0-9]+){{0,{VARIABLE_WORDS - 1}}}"
+    cut = re.sub(SENTENCE_END, "\\1\n", sentence)
+    parts = [normalise(p).replace(" ", "[ L]").replace("*", variable) for p in cut.split("\n")]
     return "[ LE]".join(p for p in parts if p)
 
 
@@ -109,12 +178,35 @@ def marked_text(text: Column) -> Column:
 
 def sentence_ids(text: Column, known: dict[str, int], patterns: dict[str, str]) -> Column:
     """Identifiers of a text's sentences in order; 0 for an unknown sentence, empty ones left out."""
-    t = marked_text(text)
-    for s in sorted(known, key=lambda s: (-len(s.split()), s)):  # a long sentence before one that is a part of it
-        t = F.regexp_replace(t, f"(?<=[PEL]){patterns[s]}(?=[PEL])", f"K{known[s]:04d}")
-    t = F.regexp_replace(F.regexp_replace(t, "L(?=K)", "E"), "(K[0-9]{4})L", "$1E")
-    found = F.filter(F.split(t, "[PE]+"), lambda s: s != "")
-    return F.transform(found, lambda s: F.when(s.startswith("K"), F.substring(s, 2, 4).cast("int")).otherwise(F.lit(0)))
+    # a long sentence before one that is a part of it
+    every = "|".join(patterns[s] for s in sorted(known, key=lambda s: (-len(s.split()), s)))
+    pieces = F.split(F.regexp_replace(marked_text(text), f"(?<=[PEL])(?:{every})(?=[PEL])", "K$0K"), "K")
+    fixed = [s for s in known if "*" not in s]
+    ids = F.create_map(*[F.lit(x) for s in fixed for x in (s, known[s])])
+
+    def known_id(piece):
+        found = F.try_element_at(ids, F.translate(piece, "LE", "  "))
+        for s in known:
+            if "*" in s:
+                found = F.coalesce(found, F.when(piece.rlike(f"^{patterns[s]}$"), F.lit(known[s])))
+        return F.array(found)
+
+    def unknown(piece):
+        return F.transform(F.filter(F.split(piece, "[PE]+"), lambda s: F.translate(s, "L ", "") != ""), lambda s: F.lit(0))
+
+    # what stands at odd places was found
+    return F.flatten(F.transform(pieces, lambda piece, i: F.when(i % 2 == 1, known_id(piece)).otherwise(unknown(piece))))
+
+
+def marking_words(sentences: list[str]) -> list[str]:
+    """A few words so that every sentence holds one of them: again and again the one of over six letters that most of the others hold."""
+    left, out = [set(s.split()) - {"*"} for s in sentences], []
+    while left:
+        words = sorted({w for s in left for w in s})
+        best = max(words, key=lambda w: (sum(w in s for s in left) * (len(w) > 6), len(w), w))
+        out.append(best)
+        left = [s for s in left if best not in s]
+    return out
 
 
 def scan(docs: DataFrame, rules: dict[str, list[list[str]]] | None = None, gap: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -123,14 +215,14 @@ def scan(docs: DataFrame, rules: dict[str, list[list[str]]] | None = None, gap:
     n_sentences counts known licence sentences; sentence_ids lists their identifiers in
     order, comma-joined; licences lists the licences of which a rule holds, sorted and
     comma-joined, a rule being left out where a longer rule of another licence contains
-    it. A null or empty text has none of them. All work is local to the row: no shuffle.
+    it. A null or empty text has none of them; repeated rows come back as often as they came; an empty
+    table gives no rows; other columns are not read, so their names can't clash. All work is local to the row: no shuffle.
     """
     rules = RULES if rules is None else rules
     known, compiled = compile_rules(rules, gap)
     patterns = {normalise(s): sentence_pattern(s) for variants in rules.values() for v in variants for s in v}
     text = F.col(text_col)
-    # each known sentence holds its longest word; a text without any of these words needs no cutting
-    marks = sorted({max(s.split(), key=lambda w: (len(w), w)) for s in known})
+    marks = marking_words(list(known))  # a text without any of these words needs no cutting
     may = F.lower(text).rlike("|".join(marks))
     ids = F.when(may, sentence_ids(text, known, patterns)).otherwise(F.array().cast("array<int>"))
     seq = docs.select(F.col(id_col), F.coalesce(ids, F.array().cast("array<int>")).alias("ids"))
@@ -138,11 +230,11 @@ def scan(docs: DataFrame, rules: dict[str, list[list[str]]] | None = None, gap:
     line = F.col("line")
     found = []
     for licence, ids_of, pattern in compiled:
-        holds = line.rlike(rf"(?:^| ){pattern}")
+        rest = line
         for other, longer, wider in compiled:
             if other != licence and len(longer) > len(ids_of) and longer[: len(ids_of)] == ids_of:
-                holds = F.regexp_replace(line, wider, "0000 ").rlike(rf"(?:^| ){pattern}")
-        found.append(F.when(holds, F.lit(licence)))
+                rest = F.regexp_replace(rest, wider, "0000 ")
+        found.append(F.when(rest.rlike(rf"(?:^| ){pattern}"), F.lit(licence)))
     some = F.array_sort(F.array_distinct(F.array_compact(F.array(*found))))
     return seq.select(
         id_col,

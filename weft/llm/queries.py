@@ -138,13 +138,15 @@ FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 
 def _op5_sql(gap: int = 1) -> str:
     known, compiled = license_scan.compile_rules(license_scan.RULES, gap)
+    known = {s: i for s, i in known.items() if "*" not in s}  # a line with a variable part is no plain list entry
     table = "[" + ", ".join("'" + s.replace("'", "''") + "'" for s in known) + "]"
+    numbers = "[" + ", ".join(map(str, known.values())) + "]"
     cases = []
     for licence, ids, pattern in compiled:
         line = "line"
         for other, longer, wider in compiled:
             if other != licence and len(longer) > len(ids) and longer[: len(ids)] == ids:
-                line = f"regexp_replace(line, '{wider}', '0000 ', 'g')"
+                line = f"regexp_replace({line}, '{wider}', '0000 ', 'g')"
         cases.append(f"CASE WHEN regexp_matches({line}, '(?:^| ){pattern}') THEN '{licence}' END")
     return f"""
 WITH s AS (
@@ -152,7 +154,7 @@ WITH s AS (
     string_split_regex(regexp_replace(coalesce(text, ''), '([.!?;:])\\s+', '\\1' || chr(10), 'g'), '[\\r\\n]+'),
     lambda x: trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))), lambda x: x <> '') AS s FROM documents
 ), i AS (
-  SELECT doc_id, list_transform(s, lambda x: coalesce(list_position({table}, x), 0)::INTEGER) AS ids FROM s
+  SELECT doc_id, list_transform(s, lambda x: coalesce(list_extract({numbers}, list_position({table}, x)), 0)::INTEGER) AS ids FROM s
 ), l AS (
   SELECT doc_id, list_filter(ids, lambda x: x > 0) AS hit,
          array_to_string(list_transform(ids, lambda x: lpad(x::VARCHAR, 4, '0')), ' ') || ' ' AS line FROM i
