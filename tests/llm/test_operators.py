@@ -61,13 +61,39 @@ def test_phrases_and_proximity(spark):
     docs = spark.createDataFrame([(1, "x a b c a b", "k"), (2, None, "k"), (3, "", "k"), (4, "A b", "k"), (4, "zz", "k"), (None, "a b c", "k")], "doc_id long, text string, items string")
     items = spark.createDataFrame([(7, "a b"), (8, "a B c"), (9, None), (10, "q r s t")], "item_id long, text string")
     got = {(r.doc_id, r.n_words): (r.n_hit, r.n_items, r.contaminated) for r in decontaminate.decontaminate(docs, items, size=3).collect()}
-    assert got == {(1, 6): (5, 2, True), (2, 0): (0, 0, False), (3, 0): (0, 0, False), (4, 2): (2, 1, True), (4, 1): (0, 0, False), (None, 3): (0, 0, False)}
+    assert got == {(1, 6): (5, 2, True), (2, 0): (0, 0, False), (3, 0): (0, 0, False), (4, 2): (2, 1, True), (4, 1): (0, 0, False), (None, 3): (3, 2, True)}
     index = decontaminate.postings(docs, spark.createDataFrame([("a",), ("c",)], "term string"))
     near = decontaminate.proximity_matches(index.where("id = 1"), "a", "c", 2).collect()
     assert sorted((r.pos_first, r.pos_second) for r in near) == [(1, 3), (4, 3)]
     assert decontaminate.decontaminate(docs, items.where("false")).where("contaminated").count() == 0
 
 
+def test_decontamination_beyond_broadcasts(spark, monkeypatch):
+    """Tables too large to be broadcast, and a word that a third of all tokens are: the same rows."""
+    rng = random.Random(3)
+    text = lambda n: " ".join("the" if rng.random() < 0.35 else f"w{rng.randrange(12)}" for _ in range(n))
+    docs = spark.createDataFrame([(i if i % 9 else None, text(rng.randrange(0, 60))) for i in range(120)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, text(rng.randrange(0, 7))) for i in range(25)] + [(99, "the the the")], "item_id long, text string")
+    rows = lambda: sorted(map(str, decontaminate.decontaminate(docs, items, size=3).collect()))
+    plain = rows()
+    for name, value in (("TERM_ROWS", 1), ("WINDOW_BYTES", 0), ("HEAVY", 20)):
+        monkeypatch.setattr(decontaminate, name, value)
+    assert rows() == plain
+    items_of = {r.item_id: r.text.split() for r in items.collect()}
+    wins = {(tuple(w[i : i + 3]), k) for k, w in items_of.items() if w for i in range(max(1, len(w) - 2))}
+    want = []
+    for r in docs.collect():
+        w, hit, found = r.text.split(), set(), set()
+        for t, k in wins:
+            for i in range(len(w) - len(t) + 1):
+                if tuple(w[i : i + len(t)]) == t:
+                    hit |= set(range(i, i + len(t)))
+                    found.add(k)
+        want.append((r.doc_id, len(w), len(hit), len(found)))
+    got = [(r.doc_id, r.n_words, r.n_hit, r.n_items) for r in decontaminate.decontaminate(docs, items, size=3).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_jaccard_against_brute_force(spark):
     rnd = random.Random(3)
     base = [[f"w{rnd.randrange(400)}" for _ in range(rnd.choice([3, 12, 60, 150]))] for _ in range(25)]
@@ -409,6 +435,9 @@ def test_sharding(spark):
         assert sorted(r.slot for r in v) == list(range(len(v)))
         assert abs(sum(r.source == "hot" for r in v) - len(v) / 2) <= 2
     assert sharding.interleave(df.where("false")).count() == 0
+    where = {(r.doc_id, r.text): (r.shard, r.slot) for r in got if r.doc_id != 5}
+    again = sharding.interleave(df, bucket_rows=7).collect()
+    assert {(r.doc_id, r.text): (r.shard, r.slot) for r in again if r.doc_id != 5} == where  # buckets decide nothing
 
 
 def test_language(spark):

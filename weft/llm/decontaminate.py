@@ -13,13 +13,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stash, ascii_lower, join_checked
+from .common import Stash, ascii_lower, join_checked, small
 
 #: Word characters: everything but ASCII characters that are neither digits nor lower-case letters. The
 #: excluded characters are listed one by one, as Java tests a list of them by one table lookup, but ranges in turn.
 WORDS = "[^" + "".join(f"\\x{c:02X}" for c in (*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80))) + "]+"
-#: Bound of a term table that is broadcast; larger ones are joined by shuffle.
+#: Bound of a table of terms or windows (a few short columns) that is broadcast; larger ones are joined by shuffle.
 TERM_ROWS = 500_000
+#: Bound of the bytes of the windows' words and items that are broadcast.
+WINDOW_BYTES = 32_000_000
+#: A term with more than this part of all tokens is dealt over several tasks where terms are joined by shuffle. There
+#: are never more such terms than this, so their table is always broadcast.
+HEAVY = 100_000
 
 
 def words(text: Column) -> Column:
@@ -28,10 +33,37 @@ def words(text: Column) -> Column:
     return F.coalesce(found, F.array().cast("array<string>"))
 
 
+def tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.posexplode(words(F.col(text_col))).alias("pos", "term"))
+
+
+def frequencies(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(term, freq)`` over the whole corpus; terms are counted where they are read, before any shuffle."""
+    found, few = tokens(docs, id_col, text_col).select("term"), small(terms, TERM_ROWS)
+    if few:
+        found = found.join(F.broadcast(terms), "term")
+    counts = found.groupBy("term").agg(F.count("*").alias("freq"))
+    return counts if few else counts.join(terms, "term")
+
+
 def postings(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Positional index: ``(term, id, pos)`` for every occurrence of a term of ``terms(term, ...)``; pos from 0."""
-    tokens = docs.select(F.col(id_col).alias("id"), F.posexplode(words(F.col(text_col))).alias("pos", "term"))
-    return join_checked(tokens, terms, "term", rows=TERM_ROWS)
+    """Positional index: ``(term, id, pos)`` for every occurrence of a term of ``terms(term)``; pos from 0.
+
+    Where terms are too many to be broadcast, tokens meet them by shuffle: frequent words that aren't asked for are
+    left out before it, frequent ones that are asked for are dealt over several tasks.
+    """
+    found = tokens(docs, id_col, text_col)
+    if small(terms, TERM_ROWS):
+        return found.join(F.broadcast(terms), "term")
+    counts = Stash(docs.sparkSession, "frequencies").put("all", found.groupBy("term").agg(F.count("*").alias("freq")))
+    share = max(1, (counts.agg(F.sum("freq")).first()[0] or 0) // HEAVY)
+    wanted = terms.select("term", F.lit(True).alias("wanted"))
+    heavy = counts.where(F.col("freq") > share).join(wanted, "term", "left").select("term", "wanted", F.ceil(F.col("freq") / share).alias("salts"))
+    lists = terms.join(F.broadcast(heavy.select("term", "salts")), "term", "left")
+    lists = lists.select("term", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    found = found.join(F.broadcast(heavy), "term", "left").where("salts is null or wanted")
+    found = found.withColumn("salt", F.pmod(F.xxhash64("id", "pos"), F.coalesce("salts", F.lit(1))))
+    return found.join(lists, ["term", "salt"]).select("term", "id", "pos")
 
 
 def proximity_matches(index: DataFrame, first: str, second: str, slop: int) -> DataFrame:
@@ -62,42 +94,44 @@ def phrase_matches(
 
     hits is an array of ``struct<start, n, items>``: first word of the occurrence in the
     document, its length, and the items that have this window. A text without words
-    has no hit; a row without an id can't be named by a posting and has none; repeated
-    rows are each compared on their own words.
+    has no hit. Postings name a row by its id, or without one by a hash of its text; rows
+    that share a name (repeated ids) share candidate places, which each compares with its
+    own words.
     """
     stash = Stash(docs.sparkSession, "decontaminate")
+    id_type = docs.schema[doc_id].dataType
+    by_text = F.pmod(F.xxhash64(F.col(text_col)), F.lit(2**31 - 1)).cast(id_type)
+    docs = docs.select(F.col(doc_id).alias("own_id"), F.coalesce(F.col(doc_id), by_text).alias("id"), F.col(text_col).alias("text"))
     wins = windows_of(items, size, item_id, text_col).groupBy("terms").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
-    terms = wins.select(F.explode("terms").alias("term")).distinct()
-    freq = postings(docs, terms, doc_id, text_col).groupBy("term").agg(F.count("*").alias("freq"))
-    flat = wins.select("items", "terms", F.posexplode("terms").alias("offset", "term")).join(freq, "term", "left")
+    wins = stash.put("items", wins.withColumn("win", F.monotonically_increasing_id()))
+    freq = frequencies(docs, wins.select(F.explode("terms").alias("term")).distinct(), "id", "text")
+    flat = wins.select("win", F.posexplode("terms").alias("offset", "term")).join(freq, "term", "left")
     order = F.array_sort(F.collect_list(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), F.col("offset"), F.col("term"))))
     # a window's rarest terms; one that the corpus lacks rules the window out
-    rare = flat.groupBy("terms").agg(order.alias("o"), F.first("items").alias("items")).where(F.col("o")[0]["freq"] > 0)
+    rare = flat.groupBy("win").agg(order.alias("o")).where(F.col("o")[0]["freq"] > 0)
     second = F.get("o", F.lit(1))
-    rare = stash.put(
-        "windows",
-        rare.select("terms", "items", F.col("o")[0]["term"].alias("t1"), F.col("o")[0]["offset"].alias("o1"), second["term"].alias("t2"), second["offset"].alias("o2")),
-    )
-    wanted = rare.select(F.col("t1").alias("term")).unionAll(rare.where("t2 is not null").select(F.col("t2").alias("term"))).distinct()
-    index = stash.put("postings", postings(docs.where(F.col(doc_id).isNotNull()), wanted, doc_id, text_col))
+    rare = rare.select("win", F.col("o")[0]["term"].alias("term"), F.col("o")[0]["offset"].alias("o1"), second["term"].alias("t2"), second["offset"].alias("o2"))
+    rare = stash.put("windows", rare)
+    wanted = rare.select("term").unionAll(rare.where("t2 is not null").select(F.col("t2").alias("term"))).distinct()
+    index = stash.put("postings", postings(docs, wanted, "id", "text"))
 
-    by_first = rare.groupBy(F.col("t1").alias("term")).agg(F.collect_list(F.struct("o1", "t2", "o2", "terms", "items")).alias("wins"))
-    places = join_checked(index, by_first, "term", rows=TERM_ROWS).select("id", "pos", F.explode("wins").alias("win"))
-    places = places.select("id", (F.col("pos") - F.col("win.o1")).alias("begin"), "win.*").where("begin >= 0")
+    places = join_checked(index, rare, "term", rows=TERM_ROWS).withColumn("begin", F.col("pos") - F.col("o1")).where("begin >= 0")
     # intersect with the second rarest term's list, shifted by its offset
     shifted = index.select("id", F.col("pos").alias("at"), F.col("term").alias("t2"))
     both = places.where("t2 is not null").withColumn("at", F.col("begin") + F.col("o2")).join(shifted, ["id", "at", "t2"], "left_semi")
-    columns = ["id", "begin", "terms", "items"]
-    left = stash.put("places", both.select(columns).unionByName(places.where("t2 is null").select(columns)))
+    columns = ["id", "begin", "win"]
+    left = stash.put("places", both.select(columns).unionByName(places.where("t2 is null").select(columns)).distinct())
+    held = wins.agg(F.sum(F.octet_length(F.array_join("terms", " ")) + 8 * F.size("items"))).first()[0] or 0
+    left = left.join(F.broadcast(wins) if held <= WINDOW_BYTES else wins, "win")
     by_doc = left.groupBy("id").agg(F.collect_list(F.struct("begin", "terms", "items")).alias("places"))
-    own = docs.select(F.col(doc_id).alias("id"), F.col(text_col).alias("text")).join(by_doc, "id", "left")
+    own = docs.join(by_doc, "id", "left")
     fits = lambda p: F.slice("w", p["begin"] + 1, F.size(p["terms"])) == p["terms"]
     hits = F.transform(
         F.filter("places", fits), lambda p: F.struct(p["begin"].alias("start"), F.size(p["terms"]).alias("n"), p["items"].alias("items"))
     )
     empty = F.array().cast("array<struct<start:int,n:int,items:array<bigint>>>")
     return own.withColumn("w", words(F.col("text"))).select(
-        F.col("id").alias(doc_id), "w", F.coalesce(hits, empty).cast("array<struct<start:int,n:int,items:array<bigint>>>").alias("hits")
+        F.col("own_id").alias(doc_id), "w", F.coalesce(hits, empty).cast("array<struct<start:int,n:int,items:array<bigint>>>").alias("hits")
     )
 
 
