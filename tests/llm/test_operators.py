@@ -3,9 +3,11 @@
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from weft.llm import decontaminate, html_extract, jaccard_join, language_id, license_scan, mixing, sharding, token_rollup, topk_search, toxicity
 
@@ -271,6 +273,40 @@ def test_toxicity_rows(spark):
     assert got == [(1, 1), (1, 1), (2, 0), (3, 0)]
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    word = lambda i: "".join(chr(97 + int(d)) for d in str(i + 10_000))
+    docs = [(i, f"the quiet {word(i % 997)} of day {word(i)}" if i % 10 else f"you {word(i)} idiot {word(i + 1)} end") for i in range(9_000)]
+    # words that only texts over 64,000 bytes hold, and only some of the texts of repeated ids
+    docs += [(20_000 + i, f"{word(i)} nitwit " + "day " * 20_000) for i in range(8)]
+    docs += [(30_000 + i // 2, f"a {word(i)} scumbag" if i % 2 else f"a {word(i)} moron") for i in range(16)]
+    docs += [(i, None) for i in (40_000, 40_001)] + [(40_002, "")] + docs[:300]
+    labels = [(i, int(t is not None and not t.startswith("the quiet"))) for i, t in docs] + [(None, 1), (99_999, 1), (1, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = toxicity.train(df, spark.createDataFrame(labels, "doc_id long, toxic int"), F.lit(False))
+    y = dict(labels[: len(docs)])
+    want = toxicity.fit([(t, y[i]) for i, t in dict.fromkeys(docs)])
+    assert set(got.weight) >= {"idiot", "nitwit", "scumbag", "moron"}
+    assert list(got.weight.items()) == list(want.weight.items())
+    assert (got.bias, got.scale) == pytest.approx((want.bias, want.scale), abs=1e-8)
+    assert got.chars == want.chars
+    assert not toxicity.train(df, spark.createDataFrame([], "doc_id long, toxic int"), F.lit(False)).weight
+
+
+def test_toxicity_counts_leave_tasks_in_parts():
+    import pyarrow as pa
+
+    texts = [(1, "you fool"), (0, "you there"), (1, "you fool"), (1, None)]
+    batch = pa.RecordBatch.from_arrays([pa.array([y for y, _ in texts]), pa.array([t for _, t in texts])], names=["y", "text"])
+    counts = Counter()
+    for b in toxicity._count_words([batch, batch]):
+        for r in b.to_pylist():
+            counts[r["word"], r["before"], r["y"]] += r["n"]
+    want = {("", None, 1): 6, ("", None, 0): 2, ("you", "^", 1): 4, ("fool", "you", 1): 4, ("you", None, 0): 2, ("there", None, 0): 2}
+    assert counts == want
+    parts = list(toxicity._batched([batch], lambda t, y: t.split(), lambda held: [pa.array(held), pa.array(held.values())], ["word", "n"], rows=1))
+    assert [p.to_pylist() for p in parts] == [[{"word": w, "n": 1} for w in t.split()] for _, t in texts if t]
+
+
 def test_licences(spark):
     texts = [
         ("Intro. Released under the MIT License. More", "MIT"), ("released  under the mit license!\n", "MIT"), ("no licence", ""), (None, ""), ("", ""),

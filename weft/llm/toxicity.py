@@ -15,14 +15,14 @@ cost of what stands as written adds up over words, the best path is the best cho
 
 The lexicon is learnt from labelled rows: words seen in toxic documents far more
 often than in others, and next to many different words, so that a toxic document
-which occurs in many copies doesn't make all its words toxic. Nothing in it depends on the language.
+which occurs in many copies doesn't make all its words toxic. Nothing in it depends on the language. All labelled
+rows outside the evaluation fold are counted, as whole texts, by tasks.
 """
 
 from __future__ import annotations
 
 import math
 import re
-import zlib
 from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
@@ -32,6 +32,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Stash, join_checked
+
 #: Characters that imitate letters.
 LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
@@ -287,74 +289,194 @@ class ToxicModel:
         return self.score_of(self.found(text))
 
 
-def calibrate(sums: np.ndarray, y: np.ndarray, bias: float, rounds: int = 50) -> tuple[float, float]:
+def calibrate(stats, bias: float, rounds: int = 50) -> tuple[float, float]:
     """(bias, scale) of a logistic regression of the label on the summed weights: words of a family (of one stem, say) come
-    together, so single ones prove less than the sum of many would say. Drawn towards the given bias and a scale of 1."""
+    together, so single ones prove less than the sum of many would say. Drawn towards the given bias and a scale of 1.
+
+    ``stats(bias, scale)`` gives five sums over all rows, with z a row's summed weights, y its label and p its probability
+    of 1: p - y, (p - y) z, p (1 - p), p (1 - p) z and p (1 - p) z^2. The result is rounded, as sums depend on the order of rows.
+    """
     w, prior, firm = np.asarray([bias, 1.0]), np.asarray([bias, 1.0]), np.asarray([0.05, 2.0])
-    x = np.stack([np.ones_like(sums), sums], 1)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) + firm * (w - prior)
-        hess = (x * (p * (1 - p))[:, None]).T @ x + np.diag(firm)
+        g0, g1, h0, h1, h2 = stats(float(w[0]), float(w[1]))
+        grad = np.asarray([g0, g1]) + firm * (w - prior)
+        hess = np.asarray([[h0, h1], [h1, h2]]) + np.diag(firm)
         step = np.linalg.solve(hess, grad)
-        w = w - step * min(1.0, 2.0 / max(1e-9, float(np.abs(step).max())))
-    return float(w[0]), float(max(w[1], 0.05))
+        most = float(np.abs(step).max())
+        w = w - step * min(1.0, 2.0 / max(1e-9, most))
+        if most < 1e-11:
+            break
+    return round(float(w[0]), 9), round(float(max(w[1], 0.05)), 9)
+
+
+def first_neighbours(text: str | None) -> dict[str, str]:
+    """A text's different words, each with the word before its first occurrence (``^`` where there is none)."""
+    out, before = {}, "^"
+    for m in _WORD.finditer((text or "").lower()):
+        w = m[0]
+        if w not in out:
+            out[w] = before
+        before = w
+    return out
+
+
+def worth(text: str | None, weight: dict[str, float]) -> float:
+    """Summed weights of the lexicon words that a text holds as they are written."""
+    return math.fsum(weight[w] for w in first_neighbours(text).keys() & weight.keys())
+
+
+def assemble(strong, common, clean: int, toxic: int, over) -> ToxicModel:
+    """The model of lexicon words ``(word, clean, toxic documents)``, the commonest words ``(word, documents)`` and the numbers of
+    documents. ``over(weight)`` gives the sums for ``calibrate`` over all rows."""
+    weight, bias = {}, math.log((toxic + 1) / (clean + 1))
+    for w, c0, c1 in strong:
+        p, q = (c1 + 0.5) / (toxic + 1), (c0 + 0.5) / (clean + 1)
+        bias += math.log((1 - p) / (1 - q))
+        weight[w] = math.log(p / q) - math.log((1 - p) / (1 - q))
+    lm = {w: math.sqrt(n) for w, n in common}
+    boost = 1.0 + 0.02 * sum(lm.values())
+    lm.update({w: boost for w in weight})
+    top = math.log(NO_EVIDENCE / (1 - NO_EVIDENCE))
+    bias, scale = max(min(bias, top), -5.0), 1.0
+    if weight:
+        bias, scale = calibrate(over(weight), bias)
+        bias = min(bias, top)
+    return ToxicModel(weight, bias, CharModel.fit(lm), scale)
 
 
 def fit(rows, least: int = 4, share: float = 0.7, contexts: int = 20, max_lexicon: int = 2_000, lm_words: int = 20_000) -> ToxicModel:
-    """Learn from an iterable of (text, label 0 or 1).
+    """Learn from an iterable of (text, label 0 or 1), in memory; ``train`` learns the same from tables of any size.
 
     A lexicon word occurs in at least ``least`` toxic documents, first after at least
     ``least`` (and half as many, or ``contexts``) different words, and ``share`` of its
     documents are toxic. A text without lexicon words scores ``NO_EVIDENCE`` at most, however
     the labels are shared out; without labelled rows the lexicon is empty.
     """
-    count, docs_of, near = [Counter(), Counter()], [0, 0], {}
-    held = []
+    rows = list(rows)
+    count, near = [Counter(), Counter()], {}
     for text, y in rows:
-        words = _WORD.findall((text or "").lower())
-        docs_of[y] += 1
-        own = set(words)
-        # four bytes a word: the driver keeps these of all sampled texts until the lexicon is known
-        held.append((np.fromiter((zlib.crc32(w.encode("utf-8", "replace")) for w in own), np.uint32, len(own)), y))
-        count[y].update(own)
+        # one neighbour a document (the first), which its copies share
+        words = first_neighbours(text)
+        count[y].update(words.keys())
         if y:
-            # one neighbour a document (the first), which its copies share
-            for w, before in dict(zip(reversed(words), reversed(["^", *words[:-1]]))).items():
+            for w, before in words.items():
                 near.setdefault(w, set()).add(before)
-    clean, toxic = docs_of
     strong = [w for w, c in count[1].items() if len(w) > 1 and c >= least and c >= share * (c + count[0][w]) and len(near[w]) >= max(least, min(contexts, 0.5 * c))]
     strong = sorted(strong, key=lambda w: (-min(count[1][w], len(near[w])), w))[:max_lexicon]
-    weight, bias = {}, math.log((toxic + 1) / (clean + 1))
-    for w in strong:
-        p, q = (count[1][w] + 0.5) / (toxic + 1), (count[0][w] + 0.5) / (clean + 1)
-        bias += math.log((1 - p) / (1 - q))
-        weight[w] = math.log(p / q) - math.log((1 - p) / (1 - q))
-    marks = np.asarray([zlib.crc32(w.encode("utf-8", "replace")) for w in weight], np.uint32)
-    worth = np.asarray(list(weight.values()), np.float64)
-    known = [(float(worth[np.isin(marks, ws)].sum()) if len(worth) else 0.0, y) for ws, y in held]
-    del held
     both = count[0] + count[1]
-    lm = {w: math.sqrt(both[w]) for w in sorted(both, key=lambda w: (-both[w], w))[:lm_words]}
-    boost = 1.0 + 0.02 * sum(lm.values())
-    lm.update({w: boost for w in weight})
-    top = math.log(NO_EVIDENCE / (1 - NO_EVIDENCE))
-    bias, scale = max(min(bias, top), -5.0), 1.0
-    if weight:
-        bias, scale = calibrate(np.asarray([z for z, _ in known]), np.asarray([float(y) for _, y in known]), bias)
-        bias = min(bias, top)
-    return ToxicModel(weight, bias, CharModel.fit(lm), scale)
+    common = sorted(both.items(), key=lambda x: (-x[1], x[0]))[:lm_words]
+
+    def over(weight):
+        z, y = np.asarray([worth(t, weight) for t, _ in rows]), np.asarray([float(y) for _, y in rows])
+
+        def stats(bias, scale):
+            p = 1 / (1 + np.exp(-np.clip(bias + scale * z, -30, 30)))
+            g, h = p - y, p * (1 - p)
+            return g.sum(), (g * z).sum(), h.sum(), (h * z).sum(), (h * z * z).sum()
+
+        return stats
+
+    toxic = sum(y for _, y in rows)
+    return assemble([(w, count[0][w], count[1][w]) for w in strong], common, len(rows) - toxic, toxic, over)
+
 
+def _batched(batches, entries, arrays, names: list[str], rows: int = 200_000, chars: int = 1 << 26):
+    """Arrow batches (label, text) as counts: ``entries(text, y)`` gives a row's keys; what a task counts leaves it as soon as it
+    holds that many keys, or those of that many characters."""
+    import pyarrow as pa
+
+    held, size = Counter(), 0
+    for b in batches:
+        for y, text in zip(b.column(0).to_pylist(), b.column(1)):
+            text = text.as_py() or ""
+            held.update(entries(text, y))
+            size += len(text)
+            if len(held) > rows or size > chars:
+                yield pa.RecordBatch.from_arrays(arrays(held), names=names)
+                held, size = Counter(), 0
+    if held:
+        yield pa.RecordBatch.from_arrays(arrays(held), names=names)
+
+
+def _count_words(batches):
+    """(word, before, y, n): documents by word and label, those of toxic ones also by the word before its first occurrence.
+    The empty word counts the documents."""
+    import pyarrow as pa
+
+    def entries(text, y):
+        words = first_neighbours(text)
+        return [("", None, y), *((w, before if y else None, y) for w, before in words.items())]
+
+    def arrays(held):
+        return [pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.string()), pa.array([k[2] for k in held], pa.int32()), pa.array(held.values(), pa.int64())]
+
+    yield from _batched(batches, entries, arrays, ["word", "before", "y", "n"])
+
+
+def _count_worths(weight: dict[str, float]):
+    """(z, y, n): documents by the summed weights of their lexicon words and by label."""
+
+    def run(batches):
+        import pyarrow as pa
 
-def train(docs: DataFrame, labels: DataFrame, out_of_fold: Column, max_rows: int = 8_000, max_bytes: int = 64_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicModel:
-    """Fit on a bounded sample: the ``max_rows`` labelled rows outside the fold that come first by a hash of their
-    id, less those whose text is over ``max_bytes``. A label of an id that occurs twice counts once, toxic first, and so
-    does its text, the smallest first. The driver takes the texts partition by partition."""
-    y = labels.where(F.col(label_col).isin(0, 1) & ~out_of_fold).groupBy(id_col).agg(F.max(label_col).alias("y"))
-    y = y.orderBy(F.xxhash64(id_col), id_col).limit(max_rows)
-    rows = docs.where(F.octet_length(text_col) <= max_bytes).select(id_col, text_col).join(F.broadcast(y), id_col)
-    rows = rows.groupBy(id_col).agg(F.min(text_col).alias("text"), F.max("y").alias("y"))
-    return fit((r[0], r[1]) for r in rows.select("text", "y").toLocalIterator(prefetchPartitions=True))
+        def arrays(held):
+            return [pa.array([k[0] for k in held], pa.float64()), pa.array([k[1] for k in held], pa.int32()), pa.array(held.values(), pa.int64())]
+
+        yield from _batched(batches, lambda text, y: [(worth(text, weight), y)], arrays, ["z", "y", "n"])
+
+    return run
+
+
+def labelled(docs: DataFrame, labels: DataFrame, out_of_fold: Column, stash: Stash, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """``(y, text)`` of every labelled row outside the fold. A label of an id that occurs twice counts once, toxic first; of
+    rows that share an id each different text counts once."""
+    y = labels.where(F.col(label_col).isin(0, 1) & ~out_of_fold).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("y"))
+    y = stash.put("labels", y)
+    rows = join_checked(docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")), y, "__id")
+    again = stash.put("again", rows.groupBy("__id").count().where("count > 1").select("__id"))
+    if not again.isEmpty():
+        once = join_checked(rows, again, "__id", "left_anti")
+        rows = once.unionByName(join_checked(rows, again, "__id", "left_semi").distinct())
+    # written once, as they are read twice: where labels are too many to broadcast, texts are shuffled for them
+    return stash.put("rows", rows.select("y", "text"))
+
+
+def train(
+    docs: DataFrame, labels: DataFrame, out_of_fold: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+    least: int = 4, share: float = 0.7, contexts: int = 20, max_lexicon: int = 2_000, lm_words: int = 20_000,
+) -> ToxicModel:
+    """``fit`` over every labelled row outside the fold (see ``labelled``), whole texts, counted where they are. The driver
+    takes the lexicon and the commonest words only, of at most ``max_lexicon`` and ``lm_words`` words."""
+    stash = Stash(docs.sparkSession, "toxicity")
+    rows = labelled(docs, labels, out_of_fold, stash, id_col, text_col, label_col)
+    pairs = rows.mapInArrow(_count_words, "word string, before string, y int, n long").groupBy("word", "before")
+    pairs = pairs.agg(F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("clean"), F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("toxic"))
+    words = pairs.groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.count("before").alias("near"))
+    words = stash.put("words", words)
+    whole = words.where("word = ''").first()
+    words = words.where("word <> ''")
+    c, near = F.col("toxic"), F.col("near")
+    strong = words.where((F.length("word") > 1) & (c >= least) & (c >= F.lit(share) * (c + F.col("clean"))))
+    strong = strong.where(near >= F.greatest(F.lit(float(least)), F.least(F.lit(float(contexts)), 0.5 * c)))
+    strong = strong.orderBy(F.least(c, near).desc(), "word").limit(max_lexicon).select("word", "clean", "toxic").collect()
+    both = F.col("clean") + c
+    common = words.select("word", both.alias("n")).orderBy(F.desc("n"), "word").limit(lm_words).collect()
+
+    def over(weight):
+        sums = rows.mapInArrow(_count_worths(weight), "z double, y int, n long").groupBy("z", "y").agg(F.sum("n").alias("n"))
+        sums = stash.put("sums", sums)
+
+        def stats(bias, scale):
+            z = F.col("z")
+            p = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.lit(bias) + F.lit(scale) * z))))
+            of = sums.select("z", (F.col("n") * (p - F.col("y"))).alias("g"), (F.col("n") * p * (1 - p)).alias("h"))
+            return of.agg(F.sum("g"), F.sum(F.col("g") * z), F.sum("h"), F.sum(F.col("h") * z), F.sum(F.col("h") * z * z)).first()
+
+        return stats
+
+    model = assemble(strong, common, whole["clean"] if whole else 0, whole["toxic"] if whole else 0, over)
+    stash.remove()
+    return model
 
 
 def score_documents(docs: DataFrame, model: ToxicModel, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
