@@ -152,3 +152,15 @@ def test_stages_keep_columns_and_bear_odd_rows(spark, tmp_path, tables):
 def test_empty_tables(spark, tmp_path):
     folder = write(spark, tmp_path, [], [], [])
     assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_toxicity_learns_from_long_texts_and_repeated_ids(spark, tmp_path, tables):
+    docs, labels, items = tables
+    rows = [r[:1] + (f"{r[1]} blockhead",) + r[2:] if i % 3 == 0 else r for i, r in enumerate(docs[:180])]
+    rows = [r[:1] + (r[1].replace("scumbag", "dolt") + " quiet" * 12_000,) + r[2:] if r[0] % 6 == 0 else r for r in rows]
+    again = [(6 * k, f"{docs[k][1].split()[0]} ninny {docs[k][1]}", "en", "b", 1) for k in range(30)]
+    asked = [(2000, "what a dolt", "en", "b", 11), (2001, "what a n1nny", "en", "b", 12), (2002, "what a blockhead", "en", "b", 16)]
+    folder = write(spark, tmp_path, rows + again + asked, labels[:180], items)
+    left = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder).collect()}
+    assert {2000, 2001}.isdisjoint(left)
+    assert 2002 in left
