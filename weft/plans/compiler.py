@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from itertools import combinations, takewhile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions import anyvalue, temporal
 from ..functions.scalar import FUNCTIONS, Arg, is_list, is_node, is_path, is_rel
-from ..operators import paths
+from ..operators import counting, paths
 from ..sources.catalog import PropertyGraph, node_scan, rel_scan
 from .parser import AGGREGATES, has_aggregate, rewrite, walk
 
@@ -128,6 +129,8 @@ class Compiler:
         self.early: dict[str, list[tuple]] = {}
         #: A variable of the outer rows that a pattern is joined to by its id alone.
         self.free: str | None = None
+        #: A column that says for how many matches a row stands; None: each row is one.
+        self.weight: str | None = None
 
     def hidden(self, kind: str) -> str:
         self.fresh += 1
@@ -185,12 +188,19 @@ class Compiler:
         result = None
         if (counted := self.counted(clauses)) is not None:
             return counted
+        clauses, (begin, tree) = list(clauses), self.tree_of(clauses) or (0, None)
+        if tree:
+            self.weight = self.hidden("w")
+            self.df = self.matches_of(tree[0], None, tree, self.weight)
         for i, c in enumerate(clauses):
+            if i < begin:
+                continue
             kind = c[0]
             if kind == "match":
                 self.df = self.match(self.df, c)
             elif kind in ("return", "with"):
                 self.df = self.project(c)
+                self.weight = None
                 if kind == "return":
                     result = self.df
                     if i + 1 < len(clauses):
@@ -234,6 +244,114 @@ class Compiler:
         rows = reduce(DataFrame.unionAll, [t.df.select(F.lit(1).alias("x")) for t in tables])
         return rows.agg(*[F.count(F.lit(1)).alias(a) for _, a in items])
 
+    def tree_of(self, clauses) -> tuple[int, tuple] | None:
+        """Whether the MATCH clauses at the beginning are only counted, by one node at most: how many clauses there are, and
+        the pattern as a tree below that node, (root, nodes, links, conditions).
+
+        Matches of a tree needn't be made to be counted: those of its branches are counted by node and multiplied
+        (``matches_of``). Conditions have to concern single nodes, and relationships that must differ to be branches of one node.
+        """
+        head = list(takewhile(lambda c: c[0] == "match", clauses))
+        if not head or len(head) == len(clauses) or clauses[len(head)][0] not in ("return", "with"):
+            return None
+        _, _, star, items, *_ = clauses[len(head)]
+        nodes: dict[str, list] = {}
+        links, conditions = [], {}
+        for at, (_, optional, pats, _) in enumerate(head):
+            for _, pname, kind, el in pats:
+                if optional or pname or kind or any(r[3] for r in el[1::2]) or any(e[-1 if e[0] == "node" else 4] and not self._constant_props(e[-1 if e[0] == "node" else 4]) for e in el):
+                    return None
+                for e in el[::2]:
+                    nodes.setdefault(e[1], []).append(e)
+                links += [(at, a[1], r, b[1]) for a, r, b in zip(el[::2], el[1::2], el[2::2])]
+        rels = {r[1] for _, _, r, _ in links}
+        if star or len(links) < 2 or len(rels) < len(links) or rels & set(nodes) or len(links) != len(nodes) - 1:
+            return None
+        for c in (c for m in head if m[3] for c in self._conjuncts(m[3])):
+            if (name := self._of_one(c)) not in nodes:
+                return None
+            conditions.setdefault(name, []).append(c)
+        calls, keys = [], set()
+        pull = lambda n: calls.append(n) or ("lit", None) if n[0] == "call" and isinstance(n[1], str) and n[1].lower() in AGGREGATES else None
+        for e, _ in items:
+            rest = rewrite(e, pull)
+            if any(n[0] in ("pattern", "patcomp") for n in walk(rest)):
+                return None
+            keys |= {n[1] for n in walk(rest) if n[0] == "var"}
+        known = rels | set(nodes)
+        if not calls or any(n[1].lower() != "count" or n[3] or (n[2] and (n[2][0][0] != "var" or n[2][0][1] not in known)) for n in calls):
+            return None
+        if len(keys) > 1 or not keys <= set(nodes):
+            return None
+        for root in keys or nodes:
+            tree = (root, nodes, links, conditions)
+            if self._countable(tree):
+                return len(head), tree
+        return None
+
+    @staticmethod
+    def _branches(name: str, above: str | None, links) -> list[tuple]:
+        """Links from a node of a tree downwards: (clause, relationship, whether it is followed against its writing, node)."""
+        out = [(at, r, False, b) for at, a, r, b in links if a == name and r[1] != above]
+        return out + [(at, r, True, a) for at, a, r, b in links if b == name and r[1] != above]
+
+    @staticmethod
+    def _must_differ(x, y) -> bool:
+        """Whether two relationships have to be different ones: those of one clause that can be of one type."""
+        return x[0] == y[0] and (not x[1][2] or not y[1][2] or bool(set(x[1][2]) & set(y[1][2])))
+
+    def _groups(self, branches) -> list[list[tuple]]:
+        """Branches of a node; those whose relationships must differ are together."""
+        out: list[list[tuple]] = []
+        for b in branches:
+            near = [g for g in out if any(self._must_differ(b, x) for x in g)]
+            out = [g for g in out if g not in near] + [[*(x for g in near for x in g), b]]
+        return out
+
+    def _countable(self, tree) -> bool:
+        """Whether all nodes hang below the root, and only branches of one node must differ, each from all others of its group."""
+        root, nodes, links, _ = tree
+        todo, seen, allowed = [(root, None)], set(), 0
+        while todo:
+            name, above = todo.pop()
+            if name in seen:
+                return False
+            seen.add(name)
+            branches = self._branches(name, above, links)
+            for g in self._groups(branches):
+                pairs = [self._must_differ(x, y) for x, y in combinations(g, 2)]
+                if not all(pairs) or len(g) > counting.MOST:
+                    return False
+                allowed += len(pairs)
+            todo += [(b, r[1]) for _, r, _, b in branches]
+        every = [(at, r) for at, _, r, _ in links]
+        return seen == set(nodes) and allowed == sum(self._must_differ(x, y) for x, y in combinations(every, 2))
+
+    def matches_of(self, name: str, above, tree, weight: str) -> DataFrame:
+        """A node's rows, and in ``weight`` the number of matches of the part of the tree below it; rows without any are left out."""
+        _, nodes, links, conditions = tree
+        branches = self._branches(name, above[0][1] if above else None, links)
+        labels = tuple(dict.fromkeys(x for _, _, own, _ in nodes[name] for x in own))
+        ends = [(r, not flip) for _, r, flip, _ in branches] + ([above] if above else [])
+        implied = tuple(dict.fromkeys((*labels, *(x for r, flip in ends for x in self.end_labels(r, flip)))))
+        props = [n[3] for n in nodes[name] if n[3]]
+        df = self.scan_as(name, implied if self.graph.node_tables(implied) else labels, props[0] if props else None)
+        for p in props[1:]:
+            df = self.with_props(df, name, p)
+        outer, self.early = self.early, conditions
+        try:
+            df = self.with_early(df, name).withColumn(weight, F.lit(1).cast("bigint"))
+        finally:
+            self.early = outer
+        for group in self._groups(branches):
+            parts = []
+            for _, r, flip, b in group:
+                e = self.with_props_of_edge(self.edges(r, flip).withColumnRenamed("r", r[1]), r[1], r[4], None)
+                below = self.matches_of(b, (r, flip), tree, weight).select(F.col(f"`{b}`.id").alias("__id"), weight)
+                parts.append(e.join(below, e["__to"] == below["__id"]).select("__from", F.col(f"`{r[1]}`.id").alias("__rel"), F.col(weight).alias("__n")))
+            df = df.join(counting.choices(parts), F.col(f"`{name}`.id") == F.col("__from")).withColumn(weight, F.col(weight) * F.col("__n")).drop("__from", "__n")
+        return df
+
     def unwind(self, e, name: str) -> DataFrame:
         df, e = self.attach(self.df, e)
         scope = Scope(df)
@@ -375,6 +493,8 @@ class Compiler:
     def agg(self, call, scope: Scope) -> Column:
         _, name, args, distinct = call
         name = name.lower()
+        if self.weight:
+            return F.coalesce(F.sum(self.weight), F.lit(0).cast("bigint"))  # tree_of() lets nothing but count() through
         if name == "count" and not args:
             return F.count(F.lit(1))
         if name == "aggregate()":
@@ -637,6 +757,13 @@ class Compiler:
         new = [c for c in found.columns if c not in df.columns]
         return self.joined(df, found, keys, "left", new)
 
+    @staticmethod
+    def _of_one(c) -> str | None:
+        """The variable of a condition that needs one only and can be applied to it at once."""
+        names = {n[1] for n in walk(c) if n[0] == "var"}
+        plain = not any(n[0] in ("pattern", "patcomp", "comp", "quant", "reduce") or (n[0] == "call" and n[1].lower() in ("startnode", "endnode", "nodes", "rand", "randomuuid")) for n in walk(c))
+        return names.pop() if plain and c[0] != "var" and len(names) == 1 else None
+
     def where_matched(self, df: DataFrame, pats, where) -> DataFrame:
         """Matches of the patterns where the predicate holds. Conjuncts over one new node are applied at its scan, so
         that searches for paths, which Spark can't push filters through, begin and end at the nodes in question."""
@@ -644,10 +771,8 @@ class Compiler:
         late = []
         nodes = {e[1] for p in pats for e in p[3] if e[0] == "node"} - set(df.columns)
         for c in self._conjuncts(where) if where else ():
-            names = {n[1] for n in walk(c) if n[0] == "var"}
-            plain = not any(n[0] in ("pattern", "patcomp", "comp", "quant", "reduce") or (n[0] == "call" and n[1].lower() in ("startnode", "endnode", "nodes", "rand", "randomuuid")) for n in walk(c))
-            if plain and c[0] != "var" and len(names) == 1 and names <= nodes:
-                early.setdefault(names.pop(), []).append(c)
+            if (name := self._of_one(c)) in nodes:
+                early.setdefault(name, []).append(c)
             else:
                 late.append(c)
         outer, self.early = self.early, early
