@@ -28,3 +28,14 @@ def test_matches_around_a_node_are_counted_by_branches(spark):
     assert rows(e, text) == [(0, n**4, n**4 + 1), (1, n**4, n**4 + 1)]
     assert rows(e, "MATCH (a)-[:X]->(h:H) MATCH (b)-[:Y]->(h) WHERE a.half = 0 AND h.k > 5 RETURN count(*) AS n") == [(0,)]
     assert rows(e, "MATCH (a)-[:X]->(h:H) MATCH (b)-[:Y]->(h) WHERE b.half = 1 WITH h, count(b) AS n WHERE n > 5 RETURN h.k AS k, n") == [(1, n * n)]
+
+
+def test_relationships_that_must_differ_are_counted_without_pairs(spark):
+    n, e = 3000, hub(spark, 3000)
+    text = "MATCH (a)-[:X]->(h:H)<-[:X]-(b) RETURN h.k AS k, count(*) AS n"
+    assert aggregates(e, text) > 1
+    assert rows(e, text) == [(0, n * (n - 1)), (1, n * (n - 1))]
+    assert rows(e, "MATCH (a)-[:X]->(h:H), (b)-->(h), (c)-[:X|Y]->(h), (d)-->(h) WHERE c.half = 1 RETURN count(*) AS n") == [(n * (2 * n - 1) * (2 * n - 2) * (2 * n - 3),)]
+    links = spark.createDataFrame([(1, 10, 0), (1, 12, 0), (2, 14, 0), (None, 16, 0), (3, 11, 1)], "id long, src long, dst long")  # ids that repeat or are missing
+    odd = Engine(spark, PropertyGraph(e.graph.nodes, (RelTable("X", links),)))
+    assert rows(odd, text) == [(0, 4)]  # nothing for the hub with a single relationship
