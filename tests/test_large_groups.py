@@ -39,3 +39,18 @@ def test_relationships_that_must_differ_are_counted_without_pairs(spark):
     links = spark.createDataFrame([(1, 10, 0), (1, 12, 0), (2, 14, 0), (None, 16, 0), (3, 11, 1)], "id long, src long, dst long")  # ids that repeat or are missing
     odd = Engine(spark, PropertyGraph(e.graph.nodes, (RelTable("X", links),)))
     assert rows(odd, text) == [(0, 4)]  # nothing for the hub with a single relationship
+
+
+def test_a_mixed_value_is_placed_in_the_order_once_a_row(spark):
+    parts = spark.range(2000).selectExpr("id", "id % 50 AS size", "concat('B', id % 25) AS brand")
+    e = Engine(spark, PropertyGraph((NodeTable(("P",), parts),)))
+    for text, want in (
+        ("MATCH (p:P) UNWIND [p.size, p.brand] AS x RETURN toString(max(x)) AS hi, toString(min(x)) AS lo, count(DISTINCT x) AS n", [("49", "B0", 75)]),
+        ("MATCH (p:P) UNWIND [p.size, p.brand] AS x WITH x, count(*) AS n RETURN count(*) AS k, sum(n) AS n", [(75, 4000.0)]),
+    ):
+        df = e.sql(text)
+        plan = df._jdf.queryExecution().executedPlan().toString().lower()
+        assert plan.count("schemaofvariant(") == 1  # as an expression of a sort it would be found at each comparison
+        assert [tuple(r) for r in df.collect()] == want
+    mixed = "UNWIND [1, 2.5, 'a', true, null, [1, 'b'], date('2020-01-01')] AS x WITH x ORDER BY x RETURN collect(toString(x))[0] AS a, toString(max(x)) AS b, count(DISTINCT x) AS n"
+    assert rows(e, mixed) == [("2020-01-01", "2.5", 6)]

@@ -44,12 +44,16 @@ def holds_variant(t) -> bool:
 def key(c: Column, t) -> Column:
     """A value's place in the global order: struct<rank, number, text>; null for null."""
     if is_variant(t):
-        name = F.regexp_extract(F.schema_of_variant(c), "^[A-Z]+", 0)
-        rank = reduce(lambda w, nk: w.when(name == nk[0], F.lit(RANK[nk[1]])), _VARIANT_KINDS.items(), F.when(F.lit(False), F.lit(0))).otherwise(F.lit(0))
-        number = F.when(name == "BOOLEAN", F.try_variant_get(c, "$", "boolean").cast("double")).otherwise(F.try_variant_get(c, "$", "double"))
-        number = F.when(rank.isin(RANK["number"], RANK["boolean"]), number)
-        text = F.when(name == "STRING", F.try_variant_get(c, "$", "string")).when(~rank.isin(RANK["number"], RANK["boolean"]), F.to_json(c))
-        return F.when(c.isNotNull() & ~F.is_variant_null(c), F.struct(rank.alias("rank"), number.alias("number"), text.alias("text")))
+        def of(name: Column) -> Column:
+            rank = reduce(lambda w, nk: w.when(name == nk[0], F.lit(RANK[nk[1]])), _VARIANT_KINDS.items(), F.when(F.lit(False), F.lit(0))).otherwise(F.lit(0))
+            plain = name.isin(*(k for k, v in _VARIANT_KINDS.items() if v == "number"))
+            number = F.when(name == "BOOLEAN", F.try_variant_get(c, "$", "boolean").cast("double")).when(plain, F.try_variant_get(c, "$", "double"))
+            text = F.when(name == "STRING", F.try_variant_get(c, "$", "string")).when((name != "BOOLEAN") & ~plain, F.to_json(c))
+            return F.struct(rank.alias("rank"), number.alias("number"), text.alias("text"))
+
+        # a lambda's argument is found once; by itself the name would be found anew wherever it is used
+        name = F.substring_index(F.substring_index(F.schema_of_variant(c), "(", 1), "<", 1)
+        return F.when(c.isNotNull() & ~F.is_variant_null(c), F.transform(F.array(name), of)[0])
     k = kind(t)
     none_number, none_text = F.lit(None).cast("double"), F.lit(None).cast("string")
     if k in ("number", "boolean"):

@@ -478,19 +478,26 @@ class Compiler:
             if n[1].lower() == "percentiledisc" and not n[3] and isinstance(t := self.dtype(n[2][0], scope), T.NumericType):
                 ranked[h] = (c := self.hidden("d"), t)
                 df = df.withColumn(c, self.expr(n[2][0], scope))
-        made = [self.agg(n, scope).alias(h) if h not in ranked else self.disc(n, *ranked[h]).alias(h) for n, h in aggs]
+        keyed: dict[str, str] = {}  # places in the global order, found once a row
+        for n, _ in aggs:
+            low = n[1].lower()
+            if (low in ("min", "max") or (low == "count" and n[3])) and repr(n[2][0]) not in keyed and anyvalue.is_variant(t := self.dtype(n[2][0], scope)):
+                keyed[repr(n[2][0])] = c = self.hidden("v")
+                df = df.withColumn(c, anyvalue.key(self.expr(n[2][0], scope), t))
+        made = [self.agg(n, scope, keyed).alias(h) if h not in ranked else self.disc(n, *ranked[h]).alias(h) for n, h in aggs]
         odd = [(a, t) for e, a in keys if anyvalue.holds_variant(t := self.dtype(e, scope))]
         if odd:  # grouped by what Spark can compare; the value itself is that of any of the group's rows
             df = df.select("*", *[c for c, (_, a) in zip(group, keys) if a in dict(odd)]) if not set(dict(odd)) & set(df.columns) else df
             group = [g for g, (_, a) in zip(group, keys) if a not in dict(odd)] + group[len(keys):]
             for a, t in odd:
-                group.append(anyvalue.identity(F.col(f"`{a}`"), t).alias(self.hidden("k")))
+                df = df.withColumn(k := self.hidden("k"), anyvalue.identity(F.col(f"`{a}`"), t))
+                group.append(F.col(k))
                 made.append(F.first(F.col(f"`{a}`")).alias(a))
         out = df.groupBy(*group).agg(*made) if group else df.agg(*made)
         s = Scope(out)
         return out.select(*[self.expr(e, s).alias(a) for e, a in post])
 
-    def agg(self, call, scope: Scope) -> Column:
+    def agg(self, call, scope: Scope, keyed: dict[str, str]) -> Column:
         _, name, args, distinct = call
         name = name.lower()
         if self.weight:
@@ -501,7 +508,10 @@ class Compiler:
             cols = [self.expr(a, scope) for a in args[1:]]
             return self.aggregates[args[0][1]](*([F.collect_set(cols[0]), *cols[1:]] if distinct else cols))
         col, t = self.expr(args[0], scope), self.dtype(args[0], scope)
+        place = keyed.get(repr(args[0]))
         if name == "count":
+            if distinct and place:
+                return F.count_distinct(F.col(place))
             key = col["id"] if is_node(t) or is_rel(t) else col
             return F.count_distinct(anyvalue.identity(col, t)) if distinct else F.count(key)
         if name == "collect":
@@ -514,7 +524,7 @@ class Compiler:
             return F.collect_list(col)
         if name in ("min", "max"):
             if anyvalue.is_variant(t):
-                return (F.min_by if name == "min" else F.max_by)(col, anyvalue.key(col, t))
+                return (F.min_by if name == "min" else F.max_by)(col, F.col(place))
             return (F.min if name == "min" else F.max)(col)
         if temporal.is_duration(t) and name in ("sum", "avg"):
             if distinct:
