@@ -1,6 +1,10 @@
 """A few keys with very many rows each: results are right, and the work doesn't pile up in one place."""
 
+import pytest
+from pyspark.sql import functions as F
+
 from weft.engine import Engine
+from weft.operators import relational
 from weft.sources.catalog import NodeTable, PropertyGraph, RelTable
 
 
@@ -54,3 +58,17 @@ def test_a_mixed_value_is_placed_in_the_order_once_a_row(spark):
         assert [tuple(r) for r in df.collect()] == want
     mixed = "UNWIND [1, 2.5, 'a', true, null, [1, 'b'], date('2020-01-01')] AS x WITH x ORDER BY x RETURN collect(toString(x))[0] AS a, toString(max(x)) AS b, count(DISTINCT x) AS n"
     assert rows(e, mixed) == [("2020-01-01", "2.5", 6)]
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right", "outer"])
+def test_joins_share_out_the_rows_of_one_key(spark, monkeypatch, how):
+    monkeypatch.setattr(relational, "BLOCK_ROWS", 100)
+    left = spark.range(2000).selectExpr("IF(id < 1990, 7, IF(id < 1995, NULL, id)) AS k", "concat('l', id % 3) AS a")
+    right = spark.range(1000).selectExpr("IF(id < 990, 7L, IF(id < 995, NULL, -id)) AS k", "concat('r', id % 3) AS b")
+    got = relational.join(left, right, how)
+    shares = [r[1] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(shares) < sum(shares) / 2
+    want = left.join(right, "k", {"outer": "full"}.get(how, how))
+    assert got.dtypes == want.dtypes
+    count = lambda df: sorted(map(str, df.groupBy("k", "a", "b").count().collect()))
+    assert count(got) == count(want) and sum(shares) == 1990 * 990 + {"inner": 0, "left": 10, "right": 10, "outer": 20}[how]
